@@ -50,7 +50,7 @@ _LIMIT = regex.compile(r"[\[(<]\s*(?:\.{2,}|…|[\p{L} ]{0,20}(?:truncated|cut|c
 _ELLIPSIS = regex.compile(r"(?:…|\.{3,})$")
 _MARKS = regex.compile("[" + regex.escape("".join(OPENING) + "".join(OPENING.values())) + '"\n]')
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
-_SEGMENT_END = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{%d}(?=[ \n]|$)" % ENDING)
+_SEGMENT_END = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{%d}(?=\n| (?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])|$)" % ENDING)
 _INNER_ELLIPSIS = regex.compile(r"…(?=[\s\p{Pf}\p{Pe}\"'])")
 _ABBREVIATION = regex.compile(r"(?:^|[\s(“\"„«])((?:\p{L}\. ?)?[\p{L}.-]{1,7})\.$")
 _INITIAL = regex.compile(r"(?:^|[\s(“\"])\p{Lu}\.$")
@@ -122,7 +122,7 @@ def end_of(text: str) -> tuple[str, str]:
         found = _ABBREVIATION.search(core)
         if (found and found.group(1).lower() in NEVER_LAST) or _INITIAL.search(core):
             ended = False
-    if ended and not unclosed:
+    if ended and not (unclosed and open_marks(last_sentence(last))):
         return "whole", ""
     if unclosed or limit:
         return "cut", ""

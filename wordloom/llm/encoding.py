@@ -142,8 +142,8 @@ def run_of(text: str, start: int, end: int) -> tuple[int, int]:
 def utf8_pass(text: str) -> tuple[str, int]:
     """(text after one pass with the page that explains most, damaged spans replaced).
 
-    A page explains nothing unless its spans make up most of the runs they lie in: chance
-    finds in sound text cover a part of a word only.
+    A span counts only if the spans of its run make up most of it: chance finds in sound
+    text cover a part of a word only.
     """
     best: tuple[int, list[tuple[int, int, str]]] = (0, [])
     wide = {c for c in set(text) if c > "\x7f"}
@@ -151,14 +151,18 @@ def utf8_pass(text: str) -> tuple[str, int]:
         leads, tails = page_sides(page)
         if wide.isdisjoint(leads) or wide.isdisjoint(tails):
             continue
-        spans, weight, runs = [], 0, {}
+        in_run: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
         for m in automaton(page).finditer(text):
-            runs.update([run_of(text, *m.span())])
             decoded = decode_span(m.group(), page)
             if decoded is not None:
-                spans.append((m.start(), m.end(), decoded))
-                weight += len(m.group())
-        if not spans or weight < COVER * sum(b - a for a, b in runs.items()):
+                in_run.setdefault(run_of(text, *m.span()), []).append((m.start(), m.end(), decoded))
+        spans, weight = [], 0
+        for (a, b), found in in_run.items():
+            covered = sum(y - x for x, y, _ in found)
+            if covered >= COVER * (b - a):
+                spans += found
+                weight += covered
+        if not spans:
             continue
         if weight < LETTER_WEIGHT and (page in LETTER_PAGES or page == "cp1250"):
             continue
@@ -181,9 +185,8 @@ def high_runs(page: str) -> re.Pattern[str]:
 
 def language_share(text: str, encoding: str) -> float:
     """How much of the letters of ``text`` are frequent ones of the encoding's language."""
-    letters = [c for c in text if c.isalpha() or c in "，。、"]
-    wide = [c for c in letters if c > "\x7f"]
-    return sum(c in FREQUENT[encoding] for c in wide) / len(letters) if len(wide) >= 4 else 0.0
+    wide = [c for c in text.lower() if c > "\x7f"]
+    return sum(c in FREQUENT[encoding] for c in wide) / len(wide) if len(wide) >= 4 else 0.0
 
 
 _SUSPECT = {
@@ -222,9 +225,8 @@ def legacy_line(text: str) -> tuple[str, int]:
             out, at, n, new = [], 0, 0, []
             for m in runs:
                 raw = bytes(mapped[c] if c > "\x7f" else ord(c) for c in m.group())
-                try:
-                    decoded = raw.decode(encoding)
-                except UnicodeDecodeError:
+                decoded = raw.decode(encoding, "replace")
+                if decoded.count("�") * 20 > len(decoded):
                     continue
                 if encoding in DOUBLE_BYTE or sum(c.isalpha() for c in decoded) * 2 >= len(decoded):
                     out += [text[at : m.start()], decoded]

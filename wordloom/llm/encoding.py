@@ -139,11 +139,16 @@ def run_of(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def line_of(text: str, at: int) -> tuple[int, int]:
+    end = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
+
+
 def utf8_pass(text: str) -> tuple[str, int]:
     """(text after one pass with the page that explains most, damaged spans replaced).
 
-    A span counts only if the spans of its run make up most of it: chance finds in sound
-    text cover a part of a word only.
+    A span counts only if the spans of its run make up most of it (of its line, for pages
+    whose high half is letters): chance finds in sound text cover a part of it only.
     """
     best: tuple[int, list[tuple[int, int, str]]] = (0, [])
     wide = {c for c in set(text) if c > "\x7f"}
@@ -155,11 +160,12 @@ def utf8_pass(text: str) -> tuple[str, int]:
         for m in automaton(page).finditer(text):
             decoded = decode_span(m.group(), page)
             if decoded is not None:
-                in_run.setdefault(run_of(text, *m.span()), []).append((m.start(), m.end(), decoded))
+                unit = line_of(text, m.start()) if page in LETTER_PAGES else run_of(text, *m.span())
+                in_run.setdefault(unit, []).append((m.start(), m.end(), decoded))
         spans, weight = [], 0
         for (a, b), found in in_run.items():
             covered = sum(y - x for x, y, _ in found)
-            if covered >= COVER * (b - a):
+            if covered >= COVER * (sum(c > "\x7f" for c in text[a:b]) if page in LETTER_PAGES else b - a):
                 spans += found
                 weight += covered
         if not spans:

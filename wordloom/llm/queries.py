@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordloom.llm import chunking, truncation
+from wordloom.llm import chunking, encoding, neardup, truncation
 
-_MODULES = (truncation, chunking)
+_MODULES = (truncation, encoding, chunking, neardup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

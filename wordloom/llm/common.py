@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TEXT_FIELDS = ("cleaned_text", "transcript")
+#: Rows handed to Python at once; texts and what is made of them stay small in memory.
+CHUNK = 500
 
 
 def long_texts(episodes: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,12 +28,13 @@ def long_texts(episodes: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS, keep:
 
 
 def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``mapInArrow`` with plain lists: columns in, columns out, one call a batch."""
+    """``mapInArrow`` with plain lists: columns in, columns out, at most CHUNK rows a call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch.to_pydict())
-            yield pa.RecordBatch.from_pydict(out, schema=target)
+            for at in range(0, batch.num_rows, CHUNK):
+                out = function(batch.slice(at, CHUNK).to_pydict())
+                yield pa.RecordBatch.from_pydict(out, schema=target)
 
     target = arrow_schema(df, schema)
     return df.mapInArrow(run, schema)

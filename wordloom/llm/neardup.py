@@ -43,7 +43,7 @@ LANES = 16
 DEPTH = 3
 SHARED = (DEPTH - 1) * LANES + 1
 #: Prefix entries a task should hold.
-ENTRIES = 600_000
+ENTRIES = 400_000
 
 _WORD = regex.compile(r"[^ \t\r\n\v\f\u0085  ]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -156,56 +156,60 @@ def prefix(s: np.ndarray, counts: np.ndarray, t: float, shared: int) -> tuple[np
 
 
 def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> DataFrame:
-    """(part, cid, n, entries): the paths of a set that lie in one partition's subtrees.
+    """(part, cid, n, heads, tails): the paths of a set that lie in one partition's subtrees.
 
-    An entry is: kind and lane, number of following nodes, place, first node, following nodes.
+    ``heads`` has three numbers an entry: place (doubled, plus 1 for a small set's path of one
+    node), number of following nodes, first node. ``tails`` has the following nodes, 16 bits
+    each: chance matches only add candidates.
     """
     least = small(t)
 
+    def entries_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part of each entry, heads, tails) in order of part."""
+        n = len(s)
+        dealt, heads, tails = [], [], []
+        if n >= least:
+            tokens, places = prefix(s, counts.value, t, SHARED)
+            lanes = ((tokens >> np.uint64(8)) & np.uint64(LANES - 1)).astype(np.int64)
+            by_lane = np.argsort(lanes, kind="stable")
+            tokens, places, lanes = tokens[by_lane], places[by_lane], lanes[by_lane]
+            size = np.bincount(lanes, minlength=LANES)
+            more = np.cumsum(size)[lanes] - np.arange(len(lanes)) - 1
+            part = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
+            mine = np.flatnonzero(more >= DEPTH - 1)
+            mine = mine[np.argsort(part[mine], kind="stable")]
+            follow = np.repeat(mine + 1 - (np.cumsum(more[mine]) - more[mine]), more[mine]) + np.arange(more[mine].sum())
+            dealt.append(part[mine])
+            heads.append(np.stack([places[mine] * 2, more[mine], (tokens[mine] & np.uint64(0xFFFFFFFF)).astype(np.int64)], axis=1))
+            tails.append(((tokens[follow] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16))
+        if n < least / t:  # may meet a small set: one shared shingle is enough
+            tokens, places = prefix(s, counts.value, t, 1)
+            part = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
+            dealt.append(part)
+            heads.append(np.stack([places * 2 + 1, np.zeros(len(places), dtype=np.int64), (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)], axis=1))
+        if len(dealt) == 2:  # both kinds: entries of a part side by side, those without tails last
+            part, head = np.concatenate(dealt), np.concatenate(heads)
+            order = np.argsort(part, kind="stable")
+            return part[order], head[order].astype(np.uint32), tails[0]
+        return dealt[0], (heads[0] if n >= least else heads[0][np.argsort(dealt[0], kind="stable")]).astype(np.uint32), tails[0] if tails else np.empty(0, np.uint16)
+
     def paths(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"part": [], "cid": [], "n": [], "entries": []}
-        table_ = counts.value
+        out: dict[str, list] = {"part": [], "cid": [], "n": [], "heads": [], "tails": []}
         for cid, text in zip(batch["cid"], batch["text"]):
             s = shingles(text, width)
-            n = len(s)
-            by_part: dict[int, list[int]] = {}
-            if n >= least:
-                tokens, places = prefix(s, table_, t, SHARED)
-                lanes = ((tokens >> np.uint64(8)) & np.uint64(LANES - 1)).astype(np.int64)
-                short = (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                dealt = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
-                for lane in range(LANES):
-                    at = np.flatnonzero(lanes == lane)
-                    nodes = short[at].tolist()
-                    where, place = dealt[at].tolist(), places[at].tolist()
-                    for k in range(len(nodes) - DEPTH + 1):
-                        by_part.setdefault(where[k], []).extend((0, len(nodes) - k - 1, place[k], *nodes[k:]))
-            if n < least / t:  # may meet a small set: one shared shingle is enough
-                tokens, places = prefix(s, table_, t, 1)
-                short = (tokens & np.uint64(0xFFFFFFFF)).tolist()
-                for node, where, place in zip(short, (mixed(tokens) % np.uint64(parts)).tolist(), places.tolist()):
-                    by_part.setdefault(where, []).extend((1, 0, place, node))
-            for where, flat in by_part.items():
-                for name, value in zip(out, (where, cid, n, np.array(flat, dtype=np.uint32).tobytes())):
-                    out[name].append(value)
+            part, heads, tails = entries_of(s)
+            part = np.sort(part)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, dtype=np.int64)
+            tail_at = np.r_[0, np.cumsum(heads[:, 1].astype(np.int64))]
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+                out["part"].append(int(part[a]))
+                out["cid"].append(cid)
+                out["n"].append(len(s))
+                out["heads"].append(heads[a:b].tobytes())
+                out["tails"].append(tails[tail_at[a] : tail_at[b]].tobytes())
         return out
 
-    return map_batches(sets.select("cid", "text"), paths, "part int, cid bigint, n int, entries binary")
-
-
-def unpack(entries: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(row, kind, place, first node, offset of the following nodes, their number, all numbers)."""
-    flat = np.frombuffer(b"".join(entries), dtype=np.uint32)
-    ends = np.cumsum([len(e) // 4 for e in entries])
-    starts = [0] * 0
-    i, total = 0, len(flat)
-    follow = flat.tolist()
-    while i < total:
-        starts.append(i)
-        i += 4 + follow[i + 1]
-    at = np.array(starts, dtype=np.int64)
-    row = np.searchsorted(ends, at, side="right")
-    return row, flat[at].astype(np.int64), flat[at + 2].astype(np.int64), flat[at + 3].astype(np.uint64), at + 4, flat[at + 1].astype(np.int64), flat
+    return map_batches(sets.select("cid", "text"), paths, "part int, cid bigint, n int, heads binary, tails binary")
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,10 +246,15 @@ def pairs_of_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]
         i = j
 
 
-def walk(cid: np.ndarray, n: np.ndarray, entries: list[bytes], t: float) -> np.ndarray:
+def walk(cid: np.ndarray, n: np.ndarray, heads: list[bytes], tails: list[bytes], t: float) -> np.ndarray:
     """Candidate pairs (smaller cid, larger cid) of one partition's subtrees."""
     found: list[np.ndarray] = []
-    row, kind, place, node, at, more, flat = unpack(entries)
+    head = np.frombuffer(b"".join(heads), dtype=np.uint32).reshape(-1, 3)
+    flat = np.frombuffer(b"".join(tails), dtype=np.uint16)
+    row = np.repeat(np.arange(len(heads)), [len(h) // 12 for h in heads])
+    kind, place, node = head[:, 0] & 1, (head[:, 0] >> 1).astype(np.int64), head[:, 2].astype(np.uint64)
+    more = head[:, 1].astype(np.int64)
+    at = np.cumsum(more) - more
 
     def emit(rows: np.ndarray, group: np.ndarray, small_only: bool, places: np.ndarray, shared: int) -> None:
         for a, b in pairs_of_groups(group):
@@ -289,21 +298,17 @@ def candidates(rows: DataFrame, t: float, parts: int) -> DataFrame:
     """(a, b): pairs of classes that share enough nodes, each at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_: dict[int, list] = {}
+        cid, n, heads, tails = [], [], [], []
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            where = columns[0].to_numpy()
-            for p in np.unique(where):
-                own = np.flatnonzero(where == p)
-                mine = parts_.setdefault(int(p), [[], [], []])
-                mine[0].append(columns[1].to_numpy()[own])
-                mine[1].append(columns[2].to_numpy()[own])
-                mine[2].extend(columns[3].take(pa.array(own)).to_pylist())
-        for cid, n, entries in parts_.values():
-            out = walk(np.concatenate(cid), np.concatenate(n).astype(np.int64), entries, t)
+            cid.append(batch.column(1).to_numpy())
+            n.append(batch.column(2).to_numpy())
+            heads += batch.column(3).to_pylist()
+            tails += batch.column(4).to_pylist()
+        if cid:
+            out = walk(np.concatenate(cid), np.concatenate(n).astype(np.int64), heads, tails, t)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
-    return rows.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, width: int, t: float) -> DataFrame:

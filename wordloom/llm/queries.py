@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordloom.llm import boilerplate, chunking, encoding, neardup, truncation
+from wordloom.llm import boilerplate, chunking, encoding, neardup, sentences, truncation
 
-_MODULES = (truncation, boilerplate, encoding, chunking, neardup)
+_MODULES = (truncation, boilerplate, encoding, chunking, neardup, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -10,10 +10,11 @@ so a group of copies costs one set. Then, for a similarity (Jaccard) of at least
    ``l = (DEPTH - 1) LANES + 1`` some lane holds ``DEPTH`` shared shingles.
 3. Each lane's ordered list is stored as paths of a trie. The rows below one first shingle
    form one subtree; subtrees are dealt over the partitions, so no pair of texts meets
-   anywhere but in a subtree that both enter. A task walks its subtrees level by level: rows
-   that share a node go on together to its children, rows alone in a node stop. Pairs whose
-   sizes or remaining lengths rule the similarity out are pruned at each node.
-4. Pairs that share ``DEPTH`` nodes are candidates; their whole sets are compared.
+   anywhere but in a subtree that both enter. A task walks its subtrees from the root: rows alone at
+   a node stop there, rows that share it go on to its children, and what two sets share below
+   one first node is added up. Pairs whose sizes or remaining lengths rule the similarity out
+   are pruned at the node.
+4. Pairs that share ``DEPTH`` nodes of a path are candidates; their whole sets are compared.
 
 Sets too small for that bound (``n`` below ``SMALL``) share one shingle at least; they enter
 the same trie with paths of one node. No candidate is capped, sampled or dropped.
@@ -44,6 +45,8 @@ DEPTH = 3
 SHARED = (DEPTH - 1) * LANES + 1
 #: Prefix entries a task should hold.
 ENTRIES = 400_000
+#: Pairs of rows held at once while a node's rows are paired.
+PAIRS = 400_000
 
 _WORD = regex.compile(r"[^ \t\r\n\v\f\u0085  ]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -212,86 +215,85 @@ def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> D
     return map_batches(sets.select("cid", "text"), paths, "part int, cid bigint, n int, heads binary, tails binary")
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group number by order) of the rows whose key occurs more than once."""
+def shared_nodes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of the rows whose key occurs more than once."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
-    new = np.empty(len(k), dtype=bool)
-    if len(k):
-        new[0] = True
-        new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group, minlength=1)
-    keep = size[group] > 1
-    return order[keep], group[keep]
-
-
-def pairs_of_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (i, j), i < j, of positions with the same group number (sorted), in bounded blocks."""
-    if not len(group):
+    same = np.zeros(len(k) + 1, dtype=bool)
+    same[1:-1] = k[1:] == k[:-1]
+    keep = same[:-1] | same[1:]
+    return order[keep], k[keep]
+
+
+def pairs_below(node: np.ndarray, subtree: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j, of positions at the same node (sorted), in blocks.
+
+    A block holds whole subtrees and, where a subtree is not larger, at most PAIRS pairs.
+    """
+    if not len(node):
         return
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    end = np.r_[start[1:], len(group)]
-    last = np.repeat(end, end - start)
-    fan = last - np.arange(len(group)) - 1
-    total = np.cumsum(fan)
-    i = 0
-    while i < len(group):
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 4_000_000, side="right")))
+    start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    end = np.r_[start[1:], len(node)]
+    fan = np.repeat(end, end - start) - np.arange(len(node)) - 1
+    total = np.r_[0, np.cumsum(fan)]
+    edges = np.r_[np.flatnonzero(np.r_[True, subtree[1:] != subtree[:-1]]), len(node)]
+    e = 0
+    while e < len(edges) - 1:
+        i = edges[e]
+        f = max(e + 1, int(np.searchsorted(total[edges], total[i] + PAIRS, side="right")) - 1)
+        j = edges[f]
         left = np.repeat(np.arange(i, j), fan[i:j])
         if len(left):
-            begin = np.cumsum(fan[i:j]) - fan[i:j]
-            right = left + 1 + np.arange(len(left)) - np.repeat(begin, fan[i:j])
-            yield left, right
-        i = j
+            yield left, left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - total[i], fan[i:j])
+        e = f
 
 
 def walk(cid: np.ndarray, n: np.ndarray, heads: list[bytes], tails: list[bytes], t: float) -> np.ndarray:
-    """Candidate pairs (smaller cid, larger cid) of one partition's subtrees."""
-    found: list[np.ndarray] = []
+    """Candidate pairs (smaller cid, larger cid) of one partition's subtrees, each once."""
+    sets, local = np.unique(cid, return_inverse=True)
     head = np.frombuffer(b"".join(heads), dtype=np.uint32).reshape(-1, 3)
     flat = np.frombuffer(b"".join(tails), dtype=np.uint16)
     row = np.repeat(np.arange(len(heads)), [len(h) // 12 for h in heads])
-    kind, place, node = head[:, 0] & 1, (head[:, 0] >> 1).astype(np.int64), head[:, 2].astype(np.uint64)
+    kind, place, node = head[:, 0] & 1, (head[:, 0] >> 1).astype(np.int64), head[:, 2].astype(np.int64)
     more = head[:, 1].astype(np.int64)
     at = np.cumsum(more) - more
+    found = np.empty(0, dtype=np.int64)
 
-    def emit(rows: np.ndarray, group: np.ndarray, small_only: bool, places: np.ndarray, shared: int) -> None:
-        for a, b in pairs_of_groups(group):
+    def collect(rows: np.ndarray, places: np.ndarray, nodes: np.ndarray, subtree: np.ndarray, only_small: bool, least: int) -> None:
+        """Pairs that share ``least`` of these nodes within one subtree, unless a bound rules them out."""
+        nonlocal found
+        for a, b in pairs_below(nodes, subtree):
             x, y = rows[a], rows[b]
-            nx, ny = n[x], n[y]
-            high, low = np.maximum(nx, ny), np.minimum(nx, ny)
-            ok = (cid[x] != cid[y]) & (low >= t * high - 1e-9)
-            if small_only:
+            nx, ny, px, py = n[x], n[y], places[a], places[b]
+            low = np.minimum(nx, ny)
+            ok = (local[x] != local[y]) & (low >= t * np.maximum(nx, ny) - 1e-9)
+            if only_small:
                 ok &= low < small(t)
-            px, py = places[a], places[b]
-            # before the node no more than the lesser place is shared, behind it no more than the shorter rest
+            # before the node no more than the lesser place is shared, from it on no more than the shorter rest
             ok &= np.minimum(px, py) + np.minimum(nx - px, ny - py) >= least_overlap(nx, ny, t)
-            x, y = cid[x[ok]], cid[y[ok]]
-            if len(x):
-                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-
-    # level 1: subtrees that two sets enter
+            x, y = local[x[ok]], local[y[ok]]
+            code = np.minimum(x, y) * len(sets) + np.maximum(x, y)
+            if least > 1:
+                where = subtree[a[ok]].astype(np.uint64)
+                _, first, times = np.unique(mixed(where * _M3 + code.astype(np.uint64)), return_index=True, return_counts=True)
+                code = code[first[times >= least]]
+            found = np.union1d(found, code)
+
+    # level 1: nodes that two sets enter; a small set needs no more
     one = np.flatnonzero(kind == 1)
-    order, group = grouped(node[one])
-    emit(row[one][order], group, True, place[one][order], 1)
+    order, k = shared_nodes(node[one])
+    collect(row[one[order]], place[one[order]], k, k, True, 1)
     deep = np.flatnonzero(kind == 0)
-    order, group = grouped(node[deep])
-    rows, path = deep[order], group.astype(np.uint64)
-    nxt, rest = at[rows], more[rows]
-    # levels 2 .. DEPTH: the children of the nodes that are shared
-    for level in range(2, DEPTH + 1):
-        left = DEPTH - level  # nodes still needed below
-        fan = np.maximum(rest - left, 0)
-        who = np.repeat(np.arange(len(rows)), fan)
-        step = np.arange(len(who)) - np.repeat(np.cumsum(fan) - fan, fan)
-        child = flat[nxt[who] + step].astype(np.uint64)
-        order, group = grouped(mixed(path[who] * _M3 + child))
-        who, step = who[order], step[order]
-        rows, path = rows[who], group.astype(np.uint64)
-        nxt, rest = nxt[who] + step + 1, rest[who] - step - 1
-    emit(row[rows], path, False, place[rows], DEPTH)
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+    order, k = shared_nodes(node[deep])
+    above = deep[order]
+    # level 2: their children; a pair goes on that shares DEPTH - 1 of them
+    who = np.repeat(np.arange(len(above)), more[above])
+    step = np.arange(len(who)) - np.repeat(np.cumsum(more[above]) - more[above], more[above])
+    child = (k[who] << 16) | flat[at[above][who] + step].astype(np.int64)
+    order, c = shared_nodes(child)
+    rows = above[who[order]]
+    collect(row[rows], place[rows], c, c >> 16, False, DEPTH - 1)
+    return np.stack([sets[found // max(1, len(sets))], sets[found % max(1, len(sets))]], axis=1)
 
 
 def candidates(rows: DataFrame, t: float, parts: int) -> DataFrame:

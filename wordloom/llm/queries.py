@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordloom.llm import boilerplate, chunking, encoding, neardup, scans, sentences, truncation
+from wordloom.llm import boilerplate, chunking, encoding, mixing, neardup, packing, scans, sentences, truncation
 
-_MODULES = (truncation, boilerplate, scans, encoding, chunking, neardup, sentences)
+_MODULES = (truncation, boilerplate, scans, encoding, chunking, neardup, packing, mixing, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -45,6 +45,8 @@ DEPTH = 3
 SHARED = (DEPTH - 1) * LANES + 1
 #: Prefix entries a task should hold.
 ENTRIES = 400_000
+#: Cells of the filter of classes that are in a candidate pair.
+FILTER_BITS = 23
 #: Pairs of rows held at once while a node's rows are paired.
 PAIRS = 400_000
 
@@ -159,9 +161,10 @@ def prefix(s: np.ndarray, counts: np.ndarray, t: float, shared: int) -> tuple[np
 
 
 def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> DataFrame:
-    """(part, cid, n, heads, tails): the paths of a set that lie in one partition's subtrees.
+    """(part, cids, ns, sizes, heads, tails): paths that lie in one partition's subtrees.
 
-    ``heads`` has three numbers an entry: place (doubled, plus 1 for a small set's path of one
+    A row holds those of a batch of sets (their numbers, sizes and numbers of entries), so that
+    a set costs few bytes beside its entries. ``heads`` has three numbers an entry: place (doubled, plus 1 for a small set's path of one
     node), number of following nodes, first node. ``tails`` has the following nodes, 16 bits
     each: chance matches only add candidates.
     """
@@ -197,7 +200,7 @@ def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> D
         return dealt[0], (heads[0] if n >= least else heads[0][np.argsort(dealt[0], kind="stable")]).astype(np.uint32), tails[0] if tails else np.empty(0, np.uint16)
 
     def paths(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"part": [], "cid": [], "n": [], "heads": [], "tails": []}
+        by_part: dict[int, tuple[list, list, list, list, list]] = {}
         for cid, text in zip(batch["cid"], batch["text"]):
             s = shingles(text, width)
             part, heads, tails = entries_of(s)
@@ -205,14 +208,22 @@ def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> D
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, dtype=np.int64)
             tail_at = np.r_[0, np.cumsum(heads[:, 1].astype(np.int64))]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
-                out["part"].append(int(part[a]))
-                out["cid"].append(cid)
-                out["n"].append(len(s))
-                out["heads"].append(heads[a:b].tobytes())
-                out["tails"].append(tails[tail_at[a] : tail_at[b]].tobytes())
-        return out
-
-    return map_batches(sets.select("cid", "text"), paths, "part int, cid bigint, n int, heads binary, tails binary")
+                cids, ns, sizes, h, t_ = by_part.setdefault(int(part[a]), ([], [], [], [], []))
+                cids.append(cid)
+                ns.append(len(s))
+                sizes.append(b - a)
+                h.append(heads[a:b].tobytes())
+                t_.append(tails[tail_at[a] : tail_at[b]].tobytes())
+        return {
+            "part": list(by_part),
+            "cids": [np.array(x[0], dtype=np.int64).tobytes() for x in by_part.values()],
+            "ns": [np.array(x[1], dtype=np.int32).tobytes() for x in by_part.values()],
+            "sizes": [np.array(x[2], dtype=np.uint32).tobytes() for x in by_part.values()],
+            "heads": [b"".join(x[3]) for x in by_part.values()],
+            "tails": [b"".join(x[4]) for x in by_part.values()],
+        }
+
+    return map_batches(sets.select("cid", "text"), paths, "part int, cids binary, ns binary, sizes binary, heads binary, tails binary")
 
 
 def shared_nodes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +259,12 @@ def pairs_below(node: np.ndarray, subtree: np.ndarray) -> Iterator[tuple[np.ndar
         e = f
 
 
-def walk(cid: np.ndarray, n: np.ndarray, heads: list[bytes], tails: list[bytes], t: float) -> np.ndarray:
+def walk(cid: np.ndarray, n: np.ndarray, sizes: np.ndarray, heads: bytes, tails: bytes, t: float) -> np.ndarray:
     """Candidate pairs (smaller cid, larger cid) of one partition's subtrees, each once."""
     sets, local = np.unique(cid, return_inverse=True)
-    head = np.frombuffer(b"".join(heads), dtype=np.uint32).reshape(-1, 3)
-    flat = np.frombuffer(b"".join(tails), dtype=np.uint16)
-    row = np.repeat(np.arange(len(heads)), [len(h) // 12 for h in heads])
+    head = np.frombuffer(heads, dtype=np.uint32).reshape(-1, 3)
+    flat = np.frombuffer(tails, dtype=np.uint16)
+    row = np.repeat(np.arange(len(cid)), sizes)
     kind, place, node = head[:, 0] & 1, (head[:, 0] >> 1).astype(np.int64), head[:, 2].astype(np.int64)
     more = head[:, 1].astype(np.int64)
     at = np.cumsum(more) - more
@@ -300,23 +311,54 @@ def candidates(rows: DataFrame, t: float, parts: int) -> DataFrame:
     """(a, b): pairs of classes that share enough nodes, each at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cid, n, heads, tails = [], [], [], []
+        held: list[list[bytes]] = [[], [], [], [], []]
         for batch in batches:
-            cid.append(batch.column(1).to_numpy())
-            n.append(batch.column(2).to_numpy())
-            heads += batch.column(3).to_pylist()
-            tails += batch.column(4).to_pylist()
-        if cid:
-            out = walk(np.concatenate(cid), np.concatenate(n).astype(np.int64), heads, tails, t)
+            for i in range(5):
+                held[i] += batch.column(i + 1).to_pylist()
+        if held[0]:
+            cid, n, sizes, heads, tails = (b"".join(x) for x in held)
+            out = walk(np.frombuffer(cid, dtype=np.int64), np.frombuffer(n, dtype=np.int32).astype(np.int64), np.frombuffer(sizes, dtype=np.uint32), heads, tails, t)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return rows.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def members_filter(pairs: DataFrame) -> np.ndarray:
+    """A bit for each hash of a class in a pair; the size is fixed, whatever the input."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            for column in (0, 1):
+                bits[filter_cell(batch.column(column).to_numpy())] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for row in pairs.select("a", "b").coalesce(16).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def filter_cell(cid: np.ndarray) -> np.ndarray:
+    return (mixed(cid.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, width: int, t: float) -> DataFrame:
-    """(a, b, similarity) of the candidates whose whole sets reach ``t``."""
-    left = sets.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+    """(a, b, similarity) of the candidates whose whole sets reach ``t``.
+
+    Only the texts of classes in some pair are shuffled: a filter of fixed size drops most of
+    the others first, the joins are exact.
+    """
+    bits = sets.sparkSession.sparkContext.broadcast(members_filter(pairs))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = filter_cell(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).cast(pa.bool_()))
+
+    some = sets.select("cid", "text").mapInArrow(needed, "cid bigint, text string")
+    left = some.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+    right = some.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
 
     def compare(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": [], "similarity": []}

@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.scalars import xml_escape
 
@@ -19,6 +20,9 @@ SENTENCE_BYTES = 900
 SECTION_BYTES = 25_000
 CONTEXT_CHARS = 400
 
+_TEXTS = T.ArrayType(T.StringType())
+_PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+
 # Words whose point ends no sentence (a single letter's never does).
 SPOKEN_ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "rev", "hon", "gen", "etc", "vs", "cf", "approx", "inc", "ltd", "corp", "co")
 
@@ -79,7 +83,7 @@ def _last_blank(s: str, most: int) -> int | None:
     return next((i for i in range(len(window) - 1, -1, -1) if window[i].isspace()), None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def cut_long_sentences(sentences: pd.Series) -> pd.Series:
     """Each text's sentences with the long ones cut."""
     return sentences.map(lambda s: None if s is None else [p for x in s for p in long_sentence_pieces(x)])
@@ -268,7 +272,7 @@ def paragraph_pieces(section: str, most: int = SECTION_BYTES) -> list[str]:
     return [x for x in out if x]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def split_section(sections: pd.Series) -> pd.Series:
     return sections.map(lambda s: None if s is None else paragraph_pieces(s))
 
@@ -365,13 +369,13 @@ def _frame(pages: pd.Series, paper: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "text"])
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(_PAGE)
 def article_text(pages: pd.Series) -> pd.DataFrame:
     """A web page's title and readable text."""
     return _frame(pages, False)
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(_PAGE)
 def paper_text(pages: pd.Series) -> pd.DataFrame:
     """A converted paper's title and text; nulls where the page has no paper."""
     return _frame(pages, True)

@@ -154,7 +154,7 @@ _CHAPTERS = f"""{_SECTIONS}, h AS (SELECT id, n, x.title AS title, CAST(floor(gr
 @query(
     f"""WITH {_ITEMS}, {_CHAPTERS}, d AS (SELECT i.*, coalesce(description, source_url, 'PDF upload') AS base, lists.chapters FROM i LEFT JOIN lists USING (id) WHERE place <= 50)
     SELECT feed_id, CAST(place AS INTEGER) AS place, id AS episode_id,
-    {_XML.format("CASE WHEN summarize <> 0 THEN title || ' (Summary)' ELSE title END")} AS item_title,
+    {_XML.format("CASE WHEN d.\"summarize\" <> 0 THEN title || ' (Summary)' ELSE title END")} AS item_title,
     md5({_XML.format("base || CASE WHEN source_url IS NOT NULL AND NOT contains(base, source_url) THEN chr(10) || chr(10) || 'Source: ' || source_url ELSE '' END || coalesce(chr(10) || chr(10) || 'Chapters:' || chr(10) || chapters, '')")}) AS description_md5,
     coalesce(strftime(pub_date, '%a, %d %b %Y %H:%M:%S +0000'), '') AS item_date, {_XML.format("audio_url")} AS item_url FROM d"""
 )
@@ -212,13 +212,13 @@ def feed_delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_EPISODES} SELECT id, CASE WHEN id < 'V' THEN upper(trim(title)) ELSE title END AS title,
+    f"""WITH {_EPISODES} SELECT id, CASE WHEN id < 'V' THEN 'Again: ' || trim(title) ELSE title END AS title,
     CASE WHEN id < 'V' THEN coalesce(replace(source_url, 'http:', 'https:'), source_url) ELSE source_url END AS source_url FROM e"""
 )
 def episode_patch(spark: SparkSession, folder: str) -> DataFrame:
     """Titles and addresses changed by a table of changes; absent values change nothing."""
     e = marts.once(table(spark, folder, "episodes"), "id", "title", "source_url")
-    changes = e.filter("id < 'V'").select("id", F.upper(F.trim("title")).alias("title"), F.replace("source_url", F.lit("http:"), F.lit("https:")).alias("source_url"))
+    changes = e.filter("id < 'V'").select("id", F.concat(F.lit("Again: "), F.trim("title")).alias("title"), F.replace("source_url", F.lit("http:"), F.lit("https:")).alias("source_url"))
     return mutations.patch(e, changes, "id", ["title", "source_url"])
 
 

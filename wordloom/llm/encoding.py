@@ -34,6 +34,8 @@ LETTER_PAGES = {"cp1251", "cp866", "koi8_r", "cp1253"}
 PASSES = 3
 #: The part of the touched runs a page must explain; characters it must explain in letter pages.
 COVER = 0.7
+#: The share of a language's frequent letters that leaves no doubt.
+SURE = 0.65
 LETTER_WEIGHT = 8
 
 # Letters that are frequent in running text of a language, by legacy encoding.
@@ -205,18 +207,18 @@ _SUSPECT = {
 }
 
 
-def legacy_pass(text: str) -> tuple[str, int]:
+def legacy_pass(text: str, sure: float = 0.0) -> tuple[str, int]:
     """(text after decoding runs of one legacy encoding shown as another, runs replaced).
 
-    Each line is judged by itself, as a text may be damaged in a part only.
+    ``sure`` is the least language share. Each line is judged by itself, as a text may be damaged in a part only.
     """
     if not any(p.search(text) for p in _SUSPECT.values()):
         return text, 0
-    done = [legacy_line(line) for line in text.split("\n")]
+    done = [legacy_line(line, sure) for line in text.split("\n")]
     return "\n".join(line for line, _ in done), sum(n for _, n in done)
 
 
-def legacy_line(text: str) -> tuple[str, int]:
+def legacy_line(text: str, sure: float = 0.0) -> tuple[str, int]:
     best: tuple[float, str, int] = (0.0, text, 0)
     for shown, real in SHOWN.items():
         if not _SUSPECT[shown].search(text):
@@ -240,7 +242,7 @@ def legacy_line(text: str) -> tuple[str, int]:
                     new.append(decoded)
             share = language_share("".join(new), encoding)
             covered = sum(map(len, new)) / max(1, len(before)) * (2 if encoding in DOUBLE_BYTE else 1)
-            need = 0.16 if encoding in DOUBLE_BYTE else 0.55
+            need = max(sure, 0.16 if encoding in DOUBLE_BYTE else 0.55)
             score = share * min(1.0, covered)
             if share >= need and covered > 0.5 and score > max(best[0], now + 0.1):
                 best = (score, "".join(out) + text[at:], n)
@@ -264,7 +266,8 @@ def restored(text: str) -> tuple[str, int, int]:
     """(the text as far as it can be restored, damaged spans, fillers)."""
     if text.isascii():
         return text, 0, filler_count(text)
-    damaged = 0
+    # lines that read as their language under a legacy encoding first: chance finds spoil them
+    text, damaged = legacy_pass(text, SURE)
     for _ in range(PASSES):
         text, n = utf8_pass(text)
         if not n:

@@ -26,11 +26,11 @@ pair and no class but their own; repeated rows of an id count once; extra column
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ from wordloom.llm.common import map_batches
 from wordloom.session import written
 from wordloom.sources.tables import table
 
-SKETCH_BITS = 21
+SKETCH_BITS = 24
 LANES = 16
 DEPTH = 3
 SHARED = (DEPTH - 1) * LANES + 1
@@ -50,7 +50,7 @@ FILTER_BITS = 23
 #: Pairs of rows held at once while a node's rows are paired.
 PAIRS = 400_000
 
-_WORD = regex.compile(r"[^ \t\r\n\v\f\u0085  ]+")
+_WORD = re.compile(r"[^ \t\r\n\v\f\u0085  ]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -61,16 +61,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Hashes(dict):
+    """Hashes of words, kept from text to text up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_HASHES = _Hashes()
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of all runs of ``width`` lower-case words."""
     words = _WORD.findall(text.lower()) if text else []
     if len(words) < width:
         return np.empty(0, dtype=np.uint64)
-    known: dict[str, int] = {}
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
     out = np.zeros(len(words) - width + 1, dtype=np.uint64)
     for i in range(width):
         out = mixed(out + h[i : len(words) - width + 1 + i] + np.uint64(i + 1))
@@ -119,32 +128,38 @@ def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def sketch(sets: DataFrame, width: int) -> np.ndarray:
-    """Counts of shingles by hash cell, saturating; its size is fixed, whatever the input."""
-    cells, block = 1 << SKETCH_BITS, 1 << 16
+    """The frequency class of each hash cell: 0 for none, 1 for once, then by its logarithm.
+
+    Counts are summed by block of cells; the result has one byte a cell, whatever the input.
+    """
+    cells, block = 1 << SKETCH_BITS, 1 << 18
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.uint32)
+        total = np.zeros(cells, dtype=np.uint16)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total[(shingles(text, width) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
-        rows = [(i, total[i * block : (i + 1) * block]) for i in range(cells // block)]
-        rows = [(i, np.minimum(part, 65535).astype(np.uint16).tobytes()) for i, part in rows if part.any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
+                own = (shingles(text, width) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                total[own] += total[own] < 255
+        for i in range(cells // block):
+            part = total[i * block : (i + 1) * block].astype(np.uint8)
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                now = np.frombuffer(part, dtype=np.uint16).astype(np.uint32)
-                sums[i] = now if i not in sums else np.minimum(sums[i] + now, 65535)
-        keys = list(sums)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(keys, pa.int32()), "counts": pa.array([sums[k].astype(np.uint16).tobytes() for k in keys], pa.binary())})
+                now = np.frombuffer(part, dtype=np.uint8)
+                sums[i] = sums[i] + now if i in sums else now.astype(np.uint32)
+        for i, total in sums.items():
+            kind = np.where(total > 1, np.minimum(8 * np.log2(np.maximum(total, 1)) + 1, 255), total).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([kind.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
     parts = sets.select("text").mapInArrow(count, schema).repartition(cells // block, "block").mapInArrow(merge, schema)
-    out = np.zeros(cells, dtype=np.uint16)
-    for row in parts.collect():  # at most cells * 2 bytes
-        out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.uint16)
+    out = np.zeros(cells, dtype=np.uint8)
+    for row in parts.toLocalIterator():  # one byte a cell in all
+        out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.uint8)
     return out
 
 
@@ -362,13 +377,14 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, t: float) -> DataFra
 
     def compare(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": [], "similarity": []}
-        last: tuple = (None, None)
+        known: dict[int, np.ndarray] = {}  # of one batch
         for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-            if last[0] != a:
-                last = (a, shingles(x, width))
-            other = shingles(y, width)
-            both = len(np.intersect1d(last[1], other, assume_unique=True))
-            similarity = both / (len(last[1]) + len(other) - both)
+            for c, text in ((a, x), (b, y)):
+                if c not in known:
+                    known[c] = shingles(text, width)
+            one, other = known[a], known[b]
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            similarity = both / (len(one) + len(other) - both)
             if similarity >= t - 1e-12:
                 out["a"].append(a)
                 out["b"].append(b)

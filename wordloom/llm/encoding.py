@@ -223,6 +223,8 @@ def legacy_line(text: str, sure: float = 0.0) -> tuple[str, int]:
     for shown, real in SHOWN.items():
         if not _SUSPECT[shown].search(text):
             continue
+        if sure and sum(len(m.group()) for m in automaton(shown).finditer(text)) >= COVER * sum(c > "\x7f" for c in text):
+            continue  # bytes of UTF-8 explain the line
         mapped = page_bytes(shown)
         runs = [m for m in high_runs(shown).finditer(text) if sum(c > "\x7f" for c in m.group()) >= 3]
         if not runs:

@@ -220,11 +220,13 @@ def legacy_pass(text: str, sure: float = 0.0) -> tuple[str, int]:
 
 def legacy_line(text: str, sure: float = 0.0) -> tuple[str, int]:
     best: tuple[float, str, int] = (0.0, text, 0)
+    if sure and any(p.search(text) for p in _SUSPECT.values()):
+        wide = sum(c > "\x7f" for c in text)
+        if any(sum(len(m.group()) for m in automaton(page).finditer(text)) >= COVER * wide for page in PAGES):
+            return text, 0  # bytes of UTF-8 explain the line
     for shown, real in SHOWN.items():
         if not _SUSPECT[shown].search(text):
             continue
-        if sure and sum(len(m.group()) for m in automaton(shown).finditer(text)) >= COVER * sum(c > "\x7f" for c in text):
-            continue  # bytes of UTF-8 explain the line
         mapped = page_bytes(shown)
         runs = [m for m in high_runs(shown).finditer(text) if sum(c > "\x7f" for c in m.group()) >= 3]
         if not runs:

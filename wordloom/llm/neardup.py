@@ -456,14 +456,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """A group for each episode with a text: five words, similarity 0.8 or more, closed over links.
+    """A group for each episode: five words, similarity 0.8 or more, closed over links.
 
-    The group's number is the least episode id in it.
+    The group's number is the least episode id in it; an episode without text is its own group.
     """
     members, pairs = similar_classes(raw_texts(spark, folder))
     grouped_ = groups(members, pairs)
     named = grouped_.groupBy("group_id").agg(F.min("id").alias("group_no"), F.count("*").alias("group_size"))
-    return grouped_.join(named, "group_id").select(F.col("id").alias("episode_id"), "group_no", "group_size", "n_links")
+    placed = grouped_.join(named, "group_id").select("id", "group_no", "group_size", "n_links")
+    every = table(spark, folder, "episodes").select("id").distinct().filter("id is not null")
+    return every.join(placed, "id", "left").select(
+        F.col("id").alias("episode_id"),
+        F.coalesce("group_no", "id").alias("group_no"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}

@@ -37,6 +37,8 @@ CONFUSIONS = [
 #: A variant must be so many times as frequent as the word it corrects, and seen so often.
 RATIO = 8
 LEAST = 4
+#: The ratio for words seen more often than that themselves.
+FREQUENT_RATIO = 100
 #: Words seen more often are run together only if both parts are so many times as frequent.
 APART = 200
 #: Letters are folded to so many codes before their powers are summed.
@@ -165,6 +167,7 @@ def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
     fits = (
         one.join(known.select(F.col("word").alias("variant"), F.col("n").alias("often"), "h"), "h")
         .filter(F.col("often") >= RATIO * F.greatest("own", F.lit(1)))
+        .filter((F.col("own") <= LEAST) | (F.col("often") >= FREQUENT_RATIO * F.col("own")))
         .filter(F.expr(put))
     )
     best = fits.groupBy("word").agg(F.max(F.struct("often", "variant")).alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,13 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder once and read it back.
 
     A lost executor then costs a re-read, not a recomputation, and non-deterministic
-    columns (generated ids) are fixed from here on.
+    columns (generated ids) are fixed from here on. With ``release`` the driver collects its
+    garbage, whereupon Spark deletes the shuffle files that only the written steps needed:
+    a job of several large exchanges then holds one of them on disk, not all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -45,6 +45,8 @@ DEPTH = 3
 SHARED = (DEPTH - 1) * LANES + 1
 #: Prefix entries a task should hold.
 ENTRIES = 400_000
+SUBTREE_COLUMNS = ("cids", "ns", "sizes", "nodes", "places", "mores", "longer", "tails")
+UNKNOWN, MANY = 65535, 255
 #: Cells of the filter of classes that are in a candidate pair.
 FILTER_BITS = 23
 #: Pairs of rows held at once while a node's rows are paired.
@@ -120,6 +122,7 @@ def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.first("n").alias("n"), F.first("text").alias("text"), F.collect_set("id").alias("ids"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "p7-classes",
+        release=True,
     )
     return folded.select(F.explode("ids").alias("id"), "cid"), folded.select("cid", "n", "text")
 
@@ -176,69 +179,74 @@ def prefix(s: np.ndarray, counts: np.ndarray, t: float, shared: int) -> tuple[np
 
 
 def subtree_rows(sets: DataFrame, counts, width: int, t: float, parts: int) -> DataFrame:
-    """(part, cids, ns, sizes, heads, tails): paths that lie in one partition's subtrees.
+    """(part, cids, ns, sizes, nodes, places, mores, longer, tails): paths in one partition's subtrees.
 
     A row holds those of a batch of sets (their numbers, sizes and numbers of entries), so that
-    a set costs few bytes beside its entries. ``heads`` has three numbers an entry: place (doubled, plus 1 for a small set's path of one
-    node), number of following nodes, first node. ``tails`` has the following nodes, 16 bits
-    each: chance matches only add candidates.
+    a set costs few bytes beside its entries. An entry is its first node, its place in the set,
+    and the number of nodes that follow, 0 for a small set's path of one node. Bytes are saved
+    where numbers are small: UNKNOWN stands for a place too large for 16 bits (such entries are
+    not pruned), MANY for a number of following nodes that ``longer`` has. ``tails`` has the
+    following nodes, 16 bits each: chance matches only add candidates.
     """
     least = small(t)
 
-    def entries_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(part of each entry, heads, tails) in order of part."""
+    def entries_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(part, node, place, following, tails) of each entry, in order of part."""
         n = len(s)
-        dealt, heads, tails = [], [], []
+        empty = np.empty(0, dtype=np.int64)
+        part, node, place, more, tails = empty, np.empty(0, dtype=np.uint32), empty, empty, np.empty(0, dtype=np.uint16)
         if n >= least:
             tokens, places = prefix(s, counts.value, t, SHARED)
             lanes = ((tokens >> np.uint64(8)) & np.uint64(LANES - 1)).astype(np.int64)
             by_lane = np.argsort(lanes, kind="stable")
             tokens, places, lanes = tokens[by_lane], places[by_lane], lanes[by_lane]
-            size = np.bincount(lanes, minlength=LANES)
-            more = np.cumsum(size)[lanes] - np.arange(len(lanes)) - 1
-            part = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
-            mine = np.flatnonzero(more >= DEPTH - 1)
-            mine = mine[np.argsort(part[mine], kind="stable")]
-            follow = np.repeat(mine + 1 - (np.cumsum(more[mine]) - more[mine]), more[mine]) + np.arange(more[mine].sum())
-            dealt.append(part[mine])
-            heads.append(np.stack([places[mine] * 2, more[mine], (tokens[mine] & np.uint64(0xFFFFFFFF)).astype(np.int64)], axis=1))
-            tails.append(((tokens[follow] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16))
+            after = np.cumsum(np.bincount(lanes, minlength=LANES))[lanes] - np.arange(len(lanes)) - 1
+            dealt = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
+            mine = np.flatnonzero(after >= DEPTH - 1)
+            mine = mine[np.argsort(dealt[mine], kind="stable")]
+            part, place, more = dealt[mine], places[mine], after[mine]
+            node = (tokens[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            follow = np.repeat(mine + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())
+            tails = ((tokens[follow] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
         if n < least / t:  # may meet a small set: one shared shingle is enough
             tokens, places = prefix(s, counts.value, t, 1)
-            part = (mixed(tokens) % np.uint64(parts)).astype(np.int64)
-            dealt.append(part)
-            heads.append(np.stack([places * 2 + 1, np.zeros(len(places), dtype=np.int64), (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)], axis=1))
-        if len(dealt) == 2:  # both kinds: entries of a part side by side, those without tails last
-            part, head = np.concatenate(dealt), np.concatenate(heads)
-            order = np.argsort(part, kind="stable")
-            return part[order], head[order].astype(np.uint32), tails[0]
-        return dealt[0], (heads[0] if n >= least else heads[0][np.argsort(dealt[0], kind="stable")]).astype(np.uint32), tails[0] if tails else np.empty(0, np.uint16)
+            part = np.concatenate([part, (mixed(tokens) % np.uint64(parts)).astype(np.int64)])
+            order = np.argsort(part, kind="stable")  # entries with tails keep their order
+            node = np.concatenate([node, (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)])[order]
+            place = np.concatenate([place, places])[order]
+            more = np.concatenate([more, np.zeros(len(places), dtype=np.int64)])[order]
+            part = part[order]
+        return part, node, place, more, tails
 
     def paths(batch: dict[str, list]) -> dict[str, list]:
-        by_part: dict[int, tuple[list, list, list, list, list]] = {}
+        by_part: dict[int, list[list]] = {}
         for cid, text in zip(batch["cid"], batch["text"]):
             s = shingles(text, width)
-            part, heads, tails = entries_of(s)
-            part = np.sort(part)
+            part, node, place, more, tails = entries_of(s)
+            place = np.minimum(place, UNKNOWN).astype(np.uint16)
+            short = np.minimum(more, MANY).astype(np.uint8)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, dtype=np.int64)
-            tail_at = np.r_[0, np.cumsum(heads[:, 1].astype(np.int64))]
+            tail_at = np.r_[0, np.cumsum(more)]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
-                cids, ns, sizes, h, t_ = by_part.setdefault(int(part[a]), ([], [], [], [], []))
-                cids.append(cid)
-                ns.append(len(s))
-                sizes.append(b - a)
-                h.append(heads[a:b].tobytes())
-                t_.append(tails[tail_at[a] : tail_at[b]].tobytes())
-        return {
-            "part": list(by_part),
-            "cids": [np.array(x[0], dtype=np.int64).tobytes() for x in by_part.values()],
-            "ns": [np.array(x[1], dtype=np.int32).tobytes() for x in by_part.values()],
-            "sizes": [np.array(x[2], dtype=np.uint32).tobytes() for x in by_part.values()],
-            "heads": [b"".join(x[3]) for x in by_part.values()],
-            "tails": [b"".join(x[4]) for x in by_part.values()],
-        }
-
-    return map_batches(sets.select("cid", "text"), paths, "part int, cids binary, ns binary, sizes binary, heads binary, tails binary")
+                own = by_part.setdefault(int(part[a]), [[] for _ in range(8)])
+                own[0].append(cid)
+                own[1].append(len(s))
+                own[2].append(b - a)
+                own[3].append(node[a:b].tobytes())
+                own[4].append(place[a:b].tobytes())
+                own[5].append(short[a:b].tobytes())
+                own[6].append(more[a:b][short[a:b] == MANY].astype(np.uint32).tobytes())
+                own[7].append(tails[tail_at[a] : tail_at[b]].tobytes())
+        rows = list(by_part.values())
+        out: dict[str, list] = {"part": list(by_part)}
+        for i, (name, kind) in enumerate((("cids", np.int64), ("ns", np.uint32), ("sizes", np.uint32))):
+            out[name] = [np.array(x[i], dtype=kind).tobytes() for x in rows]
+        for i, name in enumerate(("nodes", "places", "mores", "longer", "tails"), 3):
+            out[name] = [b"".join(x[i]) for x in rows]
+        return out
+
+    columns = ", ".join(f"{c} binary" for c in SUBTREE_COLUMNS)
+    return map_batches(sets.select("cid", "text"), paths, f"part int, {columns}")
 
 
 def shared_nodes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,14 +282,14 @@ def pairs_below(node: np.ndarray, subtree: np.ndarray) -> Iterator[tuple[np.ndar
         e = f
 
 
-def walk(cid: np.ndarray, n: np.ndarray, sizes: np.ndarray, heads: bytes, tails: bytes, t: float) -> np.ndarray:
+def walk(columns: list[bytes], t: float) -> np.ndarray:
     """Candidate pairs (smaller cid, larger cid) of one partition's subtrees, each once."""
+    kinds = (np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint8, np.uint32, np.uint16)
+    cid, n, sizes, node, place, more, longer, flat = (np.frombuffer(c, dtype=k) for c, k in zip(columns, kinds))
+    n, node, place, more = n.astype(np.int64), node.astype(np.int64), place.astype(np.int64), more.astype(np.int64)
+    more[more == MANY] = longer
     sets, local = np.unique(cid, return_inverse=True)
-    head = np.frombuffer(heads, dtype=np.uint32).reshape(-1, 3)
-    flat = np.frombuffer(tails, dtype=np.uint16)
     row = np.repeat(np.arange(len(cid)), sizes)
-    kind, place, node = head[:, 0] & 1, (head[:, 0] >> 1).astype(np.int64), head[:, 2].astype(np.int64)
-    more = head[:, 1].astype(np.int64)
     at = np.cumsum(more) - more
     found = np.empty(0, dtype=np.int64)
 
@@ -296,7 +304,8 @@ def walk(cid: np.ndarray, n: np.ndarray, sizes: np.ndarray, heads: bytes, tails:
             if only_small:
                 ok &= low < small(t)
             # before the node no more than the lesser place is shared, from it on no more than the shorter rest
-            ok &= np.minimum(px, py) + np.minimum(nx - px, ny - py) >= least_overlap(nx, ny, t)
+            fits = np.minimum(px, py) + np.minimum(nx - px, ny - py) >= least_overlap(nx, ny, t)
+            ok &= fits | (np.maximum(px, py) == UNKNOWN)
             x, y = local[x[ok]], local[y[ok]]
             code = np.minimum(x, y) * len(sets) + np.maximum(x, y)
             if least > 1:
@@ -306,10 +315,10 @@ def walk(cid: np.ndarray, n: np.ndarray, sizes: np.ndarray, heads: bytes, tails:
             found = np.union1d(found, code)
 
     # level 1: nodes that two sets enter; a small set needs no more
-    one = np.flatnonzero(kind == 1)
+    one = np.flatnonzero(more == 0)
     order, k = shared_nodes(node[one])
     collect(row[one[order]], place[one[order]], k, k, True, 1)
-    deep = np.flatnonzero(kind == 0)
+    deep = np.flatnonzero(more > 0)
     order, k = shared_nodes(node[deep])
     above = deep[order]
     # level 2: their children; a pair goes on that shares DEPTH - 1 of them
@@ -326,13 +335,12 @@ def candidates(rows: DataFrame, t: float, parts: int) -> DataFrame:
     """(a, b): pairs of classes that share enough nodes, each at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[], [], [], [], []]
+        held: list[list[bytes]] = [[] for _ in SUBTREE_COLUMNS]
         for batch in batches:
-            for i in range(5):
-                held[i] += batch.column(i + 1).to_pylist()
+            for i, own in enumerate(held):
+                own += batch.column(i + 1).to_pylist()
         if held[0]:
-            cid, n, sizes, heads, tails = (b"".join(x) for x in held)
-            out = walk(np.frombuffer(cid, dtype=np.int64), np.frombuffer(n, dtype=np.int32).astype(np.int64), np.frombuffer(sizes, dtype=np.uint32), heads, tails, t)
+            out = walk([b"".join(x) for x in held], t)
             yield pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return rows.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -402,8 +410,8 @@ def similar_classes(texts: DataFrame, width: int = 5, t: float = 0.8) -> tuple[D
     counts = spark.sparkContext.broadcast(sketch(sets, width))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t + 0.1) / ENTRIES), 1)
     rows = subtree_rows(sets, counts, width, t, parts)
-    pairs = written(candidates(rows, t, parts), "p7-candidates")
-    return members, written(verified(pairs, sets, width, t), "p7-pairs")
+    pairs = written(candidates(rows, t, parts), "p7-candidates", release=True)
+    return members, written(verified(pairs, sets, width, t), "p7-pairs", release=True)
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

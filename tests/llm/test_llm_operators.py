@@ -156,3 +156,11 @@ def test_misread_words_are_joined_with_their_variants(spark):
     assert {r["word"]: r["correction"] for r in fixed.collect()} == {"regisfer": "register", "modem": "modern"}
     assert {r["word"]: r["correction"] for r in scans.run_together(counts, suspects, fixed).collect()} == {"thereport": "the report"}
 
+
+
+def test_large_classes_of_copies_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 3)
+    members = spark.createDataFrame([(f"i{k:02}", 1) for k in range(20)] + [("a", 2), ("b", 2), ("c", 3)], "id string, cid bigint")
+    got = [tuple(r) for r in neardup.pairs_within(members).collect()]
+    assert len(got) == len(set(got)) == 20 * 19 // 2 + 1
+    assert all(x < y for x, y in got)

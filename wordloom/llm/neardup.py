@@ -49,6 +49,8 @@ SUBTREE_COLUMNS = ("cids", "ns", "sizes", "nodes", "places", "mores", "longer",
 UNKNOWN, MANY = 65535, 255
 #: Cells of the filter of classes that are in a candidate pair.
 FILTER_BITS = 23
+#: Ids of a class that one task pairs with the rest of it.
+PART = 2000
 #: Pairs of rows held at once while a node's rows are paired.
 PAIRS = 400_000
 
@@ -100,31 +102,31 @@ def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 # --- classes of equal sets ---------------------------------------------------
 
 
+def class_number(s: np.ndarray) -> int | None:
+    """64 bits of the set's 128-bit hash; None for a set without shingles."""
+    return int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True) if len(s) else None
+
+
 def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(members: id, cid) and (sets: cid, n, text), one of each class.
 
-    ``cid`` numbers are given once, in the written table.
+    The number of a class comes from its set, so that members need no exchange by class: a
+    group of copies of any size is rows, never gathered. Of n classes two share a number with
+    a chance of about n squared / 2^65.
     """
 
-    def signatures(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "sig": [], "n": [], "text": []}
-        for i, text in zip(batch["id"], batch["text"]):
-            s = shingles(text, width)
-            for name, value in zip(out, (i, xxhash.xxh128_digest(s.tobytes()) if len(s) else None, len(s), text if len(s) else None)):
-                out[name].append(value)
-        return out
+    def with_text(batch: dict[str, list]) -> dict[str, list]:
+        sets = [shingles(t, width) for t in batch["text"]]
+        return {"cid": [class_number(s) for s in sets], "n": [len(s) for s in sets], "text": batch["text"]}
 
-    signed = map_batches(texts.select("id", "text"), signatures, "id string, sig binary, n int, text string")
-    # copies fold on the map side, one text and the ids go on
-    folded = written(
-        signed.filter("sig is not null")
-        .groupBy("sig")
-        .agg(F.first("n").alias("n"), F.first("text").alias("text"), F.collect_set("id").alias("ids"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "p7-classes",
-        release=True,
-    )
-    return folded.select(F.explode("ids").alias("id"), "cid"), folded.select("cid", "n", "text")
+    def with_id(batch: dict[str, list]) -> dict[str, list]:
+        return {"id": batch["id"], "cid": [class_number(shingles(t, width)) for t in batch["text"]]}
+
+    # copies fold on the map side, one text goes on
+    folded = map_batches(texts.select("text"), with_text, "cid bigint, n int, text string").filter("cid is not null").groupBy("cid")
+    sets = written(folded.agg(F.first("n").alias("n"), F.first("text").alias("text")), "p7-classes", release=True)
+    members = map_batches(texts.select("id", "text"), with_id, "id string, cid bigint").filter("cid is not null and id is not null").distinct()
+    return written(members, "p7-members"), sets
 
 
 # --- order, prefixes, subtrees -----------------------------------------------
@@ -444,6 +446,20 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def pairs_within(members: DataFrame) -> DataFrame:
+    """(x, y), x < y: all pairs of ids in one class.
+
+    A large class is dealt into parts of about PART ids: one side keeps to its part, the other
+    goes to all parts, so that no task pairs a whole large class.
+    """
+    sizes = members.groupBy("cid").agg(F.count("*").alias("size")).filter("size > 1")
+    parts = sizes.select("cid", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    large = members.join(parts, "cid")
+    left = large.select("cid", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = large.select("cid", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["cid", "part"]).filter("x < y").select("x", "y")
+
+
 def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "episodes").select("id", F.col("raw_text").alias("text")).filter("text is not null")
 
@@ -454,9 +470,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     a = members.select(F.col("id").alias("x"), F.col("cid").alias("a"))
     b = members.select(F.col("id").alias("y"), F.col("cid").alias("b"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
     return (
-        across.unionByName(within)
+        across.unionByName(pairs_within(members))
         .select(F.least("x", "y").alias("episode_id_a"), F.greatest("x", "y").alias("episode_id_b"))
         .filter("episode_id_a <> episode_id_b")
         .distinct()

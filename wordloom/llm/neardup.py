@@ -124,7 +124,7 @@ def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     # copies fold on the map side, one text goes on
     folded = map_batches(texts.select("text"), with_text, "cid bigint, n int, text string").filter("cid is not null").groupBy("cid")
-    sets = written(folded.agg(F.first("n").alias("n"), F.first("text").alias("text")), "p7-classes", release=True)
+    sets = written(folded.agg(F.first("n").alias("n"), F.first("text").alias("text")), "p7-classes")
     members = map_batches(texts.select("id", "text"), with_id, "id string, cid bigint").filter("cid is not null and id is not null").distinct()
     return written(members, "p7-members"), sets
 
@@ -412,8 +412,8 @@ def similar_classes(texts: DataFrame, width: int = 5, t: float = 0.8) -> tuple[D
     counts = spark.sparkContext.broadcast(sketch(sets, width))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t + 0.1) / ENTRIES), 1)
     rows = subtree_rows(sets, counts, width, t, parts)
-    pairs = written(candidates(rows, t, parts), "p7-candidates", release=True)
-    return members, written(verified(pairs, sets, width, t), "p7-pairs", release=True)
+    pairs = written(candidates(rows, t, parts), "p7-candidates")
+    return members, written(verified(pairs, sets, width, t), "p7-pairs")
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

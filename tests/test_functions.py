@@ -32,6 +32,39 @@ def test_split_sentences(spark, text, want):
     assert one(spark, X.split_sentences(F.col("t")), t=text) == want
 
 
+def brute_sentences(text):
+    """The reference's loop: a character at a time, the word before a point looked at backwards."""
+    import regex
+
+    out, current = [], ""
+    for i, ch in enumerate(text):
+        current += ch
+        if ch not in ".!?" or len(current.encode()) < 2:
+            continue
+        if ch == ".":
+            if i and regex.match("[0-9]", text[i - 1]) and regex.match("[0-9]", text[i + 1 : i + 2]):
+                continue
+            word = regex.search(r"\p{Alphabetic}*$", current[:-1]).group()
+            if len(word) == 1 or word.lower() in X.SPOKEN_ABBREVIATIONS:
+                continue
+        out.append(current)
+        current = ""
+    return out + [current] if current else out
+
+
+def test_every_document_is_split_into_sentences(spark, tmp_path):
+    import hashlib
+
+    from wordloom.plans import catalog
+
+    texts = ["Une ide\u0301e. Puis rien.", "Cafe\u0301 Dr. No\u0301. S\u0323. X", "नमस्ते. हि. दो! क्या? Dr. x", "Plain. Text 3.5 here", "\u0301.a\u0301.b.", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_sentences"], r["sentences_md5"]) for r in catalog.QUERIES["sentence_split_all"](spark, str(tmp_path)).collect()}
+    want = {i: brute_sentences(t) for i, t in rows if t}
+    assert got == {i: (len(w), hashlib.md5("\x02".join(w).encode()).hexdigest()) for i, w in want.items()}
+
+
 def test_long_sentences_are_cut_within_the_size():
     for text in ("word " * 400, "a clause, " * 200 + "end.", "x" * 2500, "é" * 1000, ("wörter; " * 300)):
         pieces = X.long_sentence_pieces(text)

@@ -375,10 +375,20 @@ _MASKED = "regexp_replace(regexp_replace(" + _MASK.format("text") + f", '{_ABBR}
     SELECT doc_id, len(l) AS n_sentences, md5(replace(array_to_string(l, chr(2)), chr(1), '.')) AS sentences_md5 FROM m"""
 )
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Spoken sentences. Texts with combining marks are left to the tests: the SQL dialect's
-    letter classes differ from Java's alphabetic ones there."""
-    d = table(spark, folder, "documents").filter("text is not null and text <> ''").filter(~F.col("text").rlike(r"\p{M}"))
+    """Spoken sentences. Texts with combining marks are left to ``sentence_split_all``: the
+    SQL leaves them out, as its letter classes differ from Java's alphabetic ones there."""
+    return _sentences(table(spark, folder, "documents").filter(~F.col("text").rlike(r"\p{M}")))
+
+
+@query()
+def sentence_split_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Spoken sentences of every document, those with combining marks too."""
+    return _sentences(table(spark, folder, "documents"))
+
+
+def _sentences(documents: DataFrame) -> DataFrame:
     pieces = X.split_sentences(F.col("text"))
+    d = documents.filter("text is not null and text <> ''")
     return d.select("doc_id", F.size(pieces).cast("bigint").alias("n_sentences"), F.md5(F.array_join(pieces, "\x02")).alias("sentences_md5"))
 
 

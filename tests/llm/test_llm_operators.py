@@ -157,6 +157,35 @@ def test_misread_words_are_joined_with_their_variants(spark):
     assert {r["word"]: r["correction"] for r in scans.run_together(counts, suspects, fixed).collect()} == {"thereport": "the report"}
 
 
+@pytest.mark.parametrize("times", [1, 4, 30])
+def test_misread_words_are_told_by_relative_counts(spark, times):
+    from wordloom.llm import scans
+
+    seen = [("register", 24), ("regisfer", 2), ("the", 900), ("report", 60), ("thereport", 3), ("within", 50), ("with", 700), ("in", 700), ("modern", 15), ("modem", 2)]
+    counts = spark.createDataFrame([(w, n * times) for w, n in seen], "word string, n bigint")
+    fixed = scans.corrections(counts, counts.select("word"))
+    assert {r["word"]: r["correction"] for r in fixed.collect()} == {"regisfer": "register"}
+    assert {r["word"]: r["correction"] for r in scans.run_together(counts, counts.select("word"), fixed).collect()} == {"thereport": "the report"}
+
+
+def test_copies_of_a_scan_count_once(spark):
+    from wordloom.llm import scans
+
+    texts = [f"the register of year {i}" for i in range(12)] + ["a regisfer here"] * 40 + [None]
+    counts = scans.word_counts(spark.createDataFrame([(t,) for t in texts], "raw_text string").repartition(5))
+    assert {r["word"]: r["n"] for r in counts.filter("word like 'regis%'").collect()} == {"register": 12, "regisfer": 1}
+    fixed = scans.corrections(counts, counts.select("word"))
+    assert {r["word"]: r["correction"] for r in fixed.collect()} == {"regisfer": "register"}
+
+
+def test_parts_of_a_torn_word_are_no_words(spark):
+    from wordloom.llm import scans
+
+    text = "\n".join(["a line of the scan, wide enough to be wrapped", "ils prot├⌐gent les enfants du prot. encore une fois", "they modem prot├⌐gent the end of this long line"])
+    page = spark.createDataFrame([("a", "pdf", text, "t")], "id string, source_type string, raw_text string, title string")
+    words = {r["line_no"]: set(r["words"]) for r in scans.read_lines(page).collect()}
+    assert "prot" not in words[3] and "gent" not in words[3] and "modem" in words[3] and "enfants" in words[2]
+
 
 def test_large_classes_of_copies_are_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PART", 3)

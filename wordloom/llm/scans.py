@@ -9,7 +9,8 @@ words are joined, in SQL, with the frequent words whose hash differs by one or t
 differences, checked by putting the right letters in, and the most frequent variant ranks
 first. Rare words that are two known words run together are told by joining their parts.
 
-Word counts cover all ``raw_text`` of the collection. Nothing is broadcast that grows with it.
+Word counts cover every different ``raw_text`` of the collection once: copies of a scan and rows
+delivered twice don't make its misreadings frequent. Nothing is broadcast that grows with it.
 
 Cases: null, empty and unwrapped texts have no defects; a line has one row for each kind, page
 furniture no other kind; repeated rows give one result; extra columns are ignored.
@@ -34,13 +35,9 @@ CONFUSIONS = [
     ("c", "e"), ("ä", "a"), ("l", "i"), ("0", "o"), ("ri", "n"), ("5", "s"), ("f", "t"), ("1", "l"), ("1", "i"), ("cl", "d"), ("ii", "u"),
     ("b", "h"), ("rn", "m"), ("9", "g"), ("vv", "w"), ("li", "h"), ("t", "f"), ("m", "rn"), ("8", "b"), ("ö", "o"), ("ü", "u"), ("6", "b"),
 ]
-#: A variant must be so many times as frequent as the word it corrects, and seen so often.
+#: A variant, or both parts of words run together, must be so many times (words run together: twice
+#: that) as frequent as the word, however often that is seen.
 RATIO = 8
-LEAST = 4
-#: The ratio for words seen more often than that themselves.
-FREQUENT_RATIO = 100
-#: Words seen more often are run together only if both parts are so many times as frequent.
-APART = 200
 #: Letters are folded to so many codes before their powers are summed.
 FOLD = 2048
 #: Longest line of a wrapped (scanned) text.
@@ -57,6 +54,7 @@ _EDGE_NUMBER = regex.compile(r"^\s*[0-9lIO]{1,4}(?:\s{2,}|\s*[|·•–—]\s*)|
 _HYPHEN = regex.compile(r"([\p{L}\p{M}0-9]+(?:-[\p{L}\p{M}0-9]+)*)([-¬‐­])\s*$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:-[\p{L}\p{M}\p{N}]+)*")
 _SKIP = regex.compile(r"\S*(?:://|www\.|\w\.\w+/)\S*|\S+@\S+|\S+\.(?:example|com|org|net|html?)\b\S*")
+_TORN = regex.compile(r"\S*\p{L}(?:(?![\x00-\x7F])\p{S})+\p{L}\S*")
 _JOIN = regex.compile(r"([\p{L}\p{M}])(-|[¬‐­])[^\S\n]*\n[^\S\n]*(?=\p{Ll})")
 
 
@@ -99,7 +97,7 @@ def furniture(line: str, title: str) -> str:
 
 
 def word_counts(episodes: DataFrame) -> DataFrame:
-    """(word, n) over all raw texts; words broken over lines are counted whole."""
+    """(word, n) over the different raw texts; words broken over lines are counted whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -121,6 +119,7 @@ def word_counts(episodes: DataFrame) -> DataFrame:
     return (
         episodes.select("raw_text")
         .filter(F.col("raw_text").isNotNull())
+        .distinct()
         .mapInArrow(count, "word string, n bigint")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
@@ -149,7 +148,7 @@ def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
 
     ``suspects`` has words; only those rare beside a variant are misread.
     """
-    known = counts.filter((F.col("n") >= LEAST) & (F.length("word") >= 3)).select("word", "n", hash_column("word").alias("h"))
+    known = counts.filter((F.col("n") >= RATIO) & (F.length("word") >= 3)).select("word", "n", hash_column("word").alias("h"))
     rare = suspects.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     rare = rare.filter((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
     steps = F.array(
@@ -167,7 +166,6 @@ def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
     fits = (
         one.join(known.select(F.col("word").alias("variant"), F.col("n").alias("often"), "h"), "h")
         .filter(F.col("often") >= RATIO * F.greatest("own", F.lit(1)))
-        .filter((F.col("own") <= LEAST) | (F.col("often") >= FREQUENT_RATIO * F.col("own")))
         .filter(F.expr(put))
     )
     best = fits.groupBy("word").agg(F.max(F.struct("often", "variant")).alias("b"))
@@ -187,7 +185,7 @@ def run_together(counts: DataFrame, suspects: DataFrame, fixed: DataFrame) -> Da
     ).filter("length(a) > 1 or a in ('a', 'i')")
     left = parts.select(F.col("part").alias("a"), F.col("fine").alias("fa"), F.col("n").alias("na"))
     right = parts.select(F.col("part").alias("b"), F.col("fine").alias("fb"), F.col("n").alias("nb"))
-    both = cut.join(left, "a").join(right, "b").filter((F.col("own") < LEAST) | (F.col("own") * APART <= F.least("na", "nb")))
+    both = cut.join(left, "a").join(right, "b").filter(F.least("na", "nb") >= 2 * RATIO * F.greatest("own", F.lit(1)))
     best = both.groupBy("word").agg(F.max(F.struct(F.least("na", "nb").alias("n"), F.concat_ws(" ", "fa", "fb").alias("c"))).alias("b"))
     return best.select("word", F.col("b.c").alias("correction"))
 
@@ -202,7 +200,8 @@ def read_lines(pages: DataFrame) -> DataFrame:
 
     kind: 'page_number', 'running_header' or 'text'; a line that ends in a hyphen has the word
     joined (``whole``) and with its hyphen (``apart``); ``words`` are the line's words as they
-    are judged: a word broken over two lines belongs to the first, joined.
+    are judged: a word broken over two lines belongs to the first, joined; the parts of a word
+    torn by symbols of a wrong decoding are no words.
     """
 
     def read(batch: dict[str, list]) -> dict[str, list]:
@@ -234,7 +233,8 @@ def read_lines(pages: DataFrame) -> DataFrame:
                 elif m:
                     whole, apart = m.group(1), m.group(1) + "-"
                     words = words[:-1]
-                for column, value in zip(out, (eid, i + 1, "text", whole, apart, sorted(set(words)))):
+                torn = {w for token in _TORN.findall(line) for w in _WORD.findall(token)}
+                for column, value in zip(out, (eid, i + 1, "text", whole, apart, sorted(set(words) - torn))):
                     out[column].append(value)
             for i, kind in enumerate(kinds):
                 if kind and kind != "text":

@@ -147,6 +147,23 @@ def test_truncation_by_the_baseline(spark):
     assert got == {**{str(i): 0 for i in range(5)}, "10": 1, "11": 0}
 
 
+def test_copies_do_not_move_the_baseline(spark):
+    from wordloom.llm import truncation
+
+    def row(i, text):
+        return (str(i), "f", "article", text, None)
+
+    inner = [row(f"in{i}", f"Rain fell on day {i}.\n\nThe end of it.") for i in range(2)]
+    copies = [row(f"copy{i}", "The town woke.\n\nRain came over the") for i in range(40)]
+    rows = [*inner, *copies, row("other", "A day passed.\n\nRain was in the")]
+    rows += [row("again", "A week passed.\n\nSeldom did they")] * 3
+    rows += [row(f"sign{i}", f"Talk {i} was long.\n\nMusic by Someone") for i in range(4)] + [row("opens", "Music was played.\n\nIt ended.")] * 9
+    df = spark.createDataFrame(rows, "id string, feed_id string, source_type string, cleaned_text string, transcript string").repartition(4)
+    got = {r["episode_id"]: r["cut"] for r in truncation.judged(df).collect()}
+    assert {i: got[i] for i in ("copy0", "copy39", "other", "again")} == dict.fromkeys(("copy0", "copy39", "other", "again"), 1)
+    assert all(got[f"sign{i}"] == 0 for i in range(4)) and got["in0"] == 0
+
+
 def test_misread_words_are_joined_with_their_variants(spark):
     from wordloom.llm import scans
 

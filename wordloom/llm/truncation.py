@@ -5,10 +5,12 @@ and brackets; the end of the text is then taken apart from the back: marks of an
 transfer (half an entity, half an escape, a replacement character, a link that never closes),
 marks a limit leaves behind ("..." in brackets, an ellipsis), closing quotes, and the
 terminator of the text's script. What the end alone can't tell is left to the baseline of the
-whole collection, counted in the same pass:
+whole collection, counted in the same pass, each different text once however many copies and
+deliveries it has:
 
 * a last paragraph without terminator is a closing line (a sign-off) when paragraphs that
-  open like it are usually unterminated last ones, and cut when they usually go on;
+  open like it are usually unterminated last ones, in several episodes, and cut when they
+  usually go on;
 * an ellipsis is meant when sentences that open like this one often end with it inside texts;
 * in scripts written without terminators the last letters must be ones that segments of
   the collection end with.
@@ -20,6 +22,7 @@ heading or list item is not cut; repeated rows give one result; extra columns ar
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import blake2b
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +41,7 @@ NEVER_LAST = {
     "dr", "prof", "mr", "mrs", "ms", "sr", "sra", "dra", "st", "e.g", "i.e", "z. b", "z.b", "d. h", "vs", "no", "nr", "fig", "cf",
     "approx", "aprox", "env", "ca", "sept", "т. е", "проф", "рис", "стр", "см", "г", "al", "pp", "vol", "κ", "π.χ", "д-р",
 }
-#: A closing line must have been seen so often, and so much more often last than inside.
+#: A closing line must have been seen in so many episodes, and so much more often last than inside.
 LEAST_SEEN = 3
 #: Letters of an ending compared in scripts without terminators.
 ENDING = 6
@@ -135,12 +138,16 @@ def end_of(text: str) -> tuple[str, str]:
 
 def _read(batch: dict[str, list]) -> dict[str, list]:
     rows: list[tuple] = []
-    seen: Counter = Counter()
+    known: set[bytes] = set()
     for eid, feed, kind, field, text in zip(batch["episode_id"], batch["feed_id"], batch["source_type"], batch["field"], batch["text"]):
         verdict, key = end_of(text)
-        rows.append((eid, feed, kind, field, verdict, key, 1, 0))
+        digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        rows.append((eid, feed, kind, field, verdict, key, digest, 1, 0))
+        if digest in known:
+            continue
+        known.add(digest)
         paragraphs = [p for p in text.split("\n") if p and not p.isspace()]
-        seen.update(("closing", k) for k in {opening(p) for p in paragraphs[:-1]})
+        seen: Counter = Counter(("closing", k) for k in {opening(p) for p in paragraphs[:-1]})
         if "…" in text:
             for m in _INNER_ELLIPSIS.finditer(text):
                 start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 400)
@@ -148,8 +155,8 @@ def _read(batch: dict[str, list]) -> dict[str, list]:
         if _UNSPACED.search(text):
             ends = [m.group() for line in paragraphs if not line.startswith("#") for m in _SEGMENT_END.finditer(line)]
             seen.update(("ending", x) for x in ends[:-1])
-    rows += [(None, None, None, None, kind, key, 0, n) for (kind, key), n in seen.items()]
-    names = ("episode_id", "feed_id", "source_type", "field", "verdict", "key", "last", "inside")
+        rows += [(None, None, None, None, kind, key, digest, 0, n) for (kind, key), n in seen.items()]
+    names = ("episode_id", "feed_id", "source_type", "field", "verdict", "key", "digest", "last", "inside")
     return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
 
@@ -159,20 +166,25 @@ def judged(episodes: DataFrame) -> DataFrame:
         map_batches(
             long_texts(episodes, keep=("feed_id", "source_type")),
             _read,
-            "episode_id string, feed_id string, source_type string, field string, verdict string, key string, last bigint, inside bigint",
+            "episode_id string, feed_id string, source_type string, field string, verdict string, key string, digest binary, last bigint, inside bigint",
         ),
         "p1-ends",
     )
     open_kinds = ("closing", "ellipsis", "ending")
+    values = read.filter(F.col("episode_id").isNotNull()).drop("digest", "last", "inside").distinct()
+    episodes_of = values.filter("verdict = 'closing'").groupBy("verdict", "key").agg(F.countDistinct("episode_id").alias("n_episodes"))
+    asked = F.col("verdict").isin(*open_kinds)
     base = (
-        read.filter(F.col("verdict").isin(*open_kinds))
+        read.filter(asked)
+        .groupBy("verdict", "key", "digest")
+        .agg(F.max("last").alias("last"), F.max("inside").alias("inside"))
         .groupBy("verdict", "key")
         .agg(F.sum("last").alias("n_last"), F.sum("inside").alias("n_inside"))
+        .join(episodes_of, ["verdict", "key"], "left")
     )
-    values = read.filter(F.col("episode_id").isNotNull()).drop("last", "inside").distinct()
-    decided = values.filter(~F.col("verdict").isin(*open_kinds)).withColumn("cut", (F.col("verdict") == "cut").cast("int"))
+    decided = values.filter(~asked).withColumn("cut", (F.col("verdict") == "cut").cast("int"))
     usual = (
-        F.when(F.col("verdict") == "closing", (F.col("n_last") >= LEAST_SEEN) & (F.col("n_last") > 2 * F.col("n_inside")))
+        F.when(F.col("verdict") == "closing", (F.col("n_episodes") >= LEAST_SEEN) & (F.col("n_last") > 2 * F.col("n_inside")))
         .when(F.col("verdict") == "ellipsis", (F.col("n_inside") > F.col("n_last")) & (F.col("key") != ""))
         .otherwise(F.col("n_inside") >= LEAST_SEEN)
     )

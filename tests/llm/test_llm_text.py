@@ -161,6 +161,14 @@ def test_tree_learns():
     assert list(cart.predict(cart.fit(np.zeros((0, 2)), np.zeros(0)), np.zeros((2, 2)))) == [0, 0]
 
 
+def test_words_of_a_long_line_are_all_scored():
+    words = boilerplate.Words(["the story goes on"] * 9 + ["cookies consent"] * 9, [0] * 9 + [1] * 9)
+    filler = "unseen " * 80
+    assert len(filler) > 400
+    assert words.of(filler + "cookies consent")[:4] != words.of(filler)[:4]
+    assert words.of(filler + "cookies consent")[3] == words.of("cookies consent")[3] > 0
+
+
 def test_furniture_labels():
     body = " ".join(["word"] * 40) + "."
     page = f"Menu\n\nTitle\n\n{body}\n\nShare\n\nSubscribers to the queue receive each message at least once.\n\n{body}x.\n\nFooter"

@@ -119,7 +119,7 @@ class Words:
 
     def of(self, line: str) -> tuple[float, float, float, float, float]:
         """(first, mean, least, most) of the block's known words, and that of its form."""
-        odds = [self.odds.get(w, 0.0) for w in _TOKEN.findall(line.lower()[:400])]
+        odds = [self.odds.get(w, 0.0) for w in _TOKEN.findall(line.lower())]
         form = self.forms.get(self.form(line), 0.0)
         return (odds[0], sum(odds) / len(odds), min(odds), max(odds), form) if odds else (3.0, 0.0, 0.0, 0.0, form)
 

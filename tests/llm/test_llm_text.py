@@ -62,6 +62,11 @@ def test_pieces_round_trip_and_overlap():
         assert whole == data
 
 
+def test_wide_stretches_in_a_row_are_measured_in_bytes():
+    assert chunking.longest_stretch("文" * 500 + " " + "文" * 1300 + " and more text") == 3900
+    assert chunking.longest_stretch("a" * 2000 + " " + "😀" * 900 + " end") == 3600
+
+
 def test_pieces_without_boundary_and_edits():
     text = "x" * 9000
     assert all(b - a <= 3600 for a, b in chunking.cuts(text, 3600, 200))

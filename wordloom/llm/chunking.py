@@ -106,7 +106,7 @@ def longest_stretch(text: str) -> int:
     """Bytes of the longest stretch without a place to cut at."""
     longest, last = 0, 0
     for m in _STOPS.finditer(text):
-        if m.start() - last > longest:
+        if m.start() - last > longest // 4:
             longest = max(longest, len(text[last : m.start()].encode()))
         last = m.end()
     if len(text) - last > longest // 4:

@@ -210,3 +210,80 @@ def test_large_classes_of_copies_are_dealt_into_parts(spark, monkeypatch):
     got = [tuple(r) for r in neardup.pairs_within(members).collect()]
     assert len(got) == len(set(got)) == 20 * 19 // 2 + 1
     assert all(x < y for x, y in got)
+
+
+def made_classes(spark, texts, width, t):
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    members, pairs = neardup.similar_classes(df, width, t)
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r["cid"], []).append(r["id"])
+    return {tuple(sorted((x, y))) for r in pairs.collect() for x in ids[r["a"]] for y in ids[r["b"]]}
+
+
+def test_very_long_texts_keep_short_paths(spark):
+    """Sets of several size classes: the pair meets in the smaller one's, and paths stay short."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(4000)}" for _ in range(50_000)]
+    near = [w if rng.random() > 0.02 else "x" for w in words]
+    texts = {"a": " ".join(words), "b": " ".join(near), "c": " ".join(words[:30_000]), "d": " ".join(words[20_000:20_900]), "e": " ".join(words[:24_000])}
+    assert made_classes(spark, texts, 3, 0.5) == brute_pairs(texts, 3, 0.5)
+    s = neardup.shingles(texts["a"], 3)
+    part, node, place, more, tails = neardup.entries_of(s, neardup.np.full(len(s), 2), 1, 0.5, 4)
+    assert len(tails) < 40 * len(s) and len(node) < 2 * len(s)
+
+
+def test_many_short_texts_with_one_shared_shingle_list_no_pairs(spark):
+    texts = {f"i{k:05}": f"all of these u{k} v{k}" for k in range(20_000)}
+    texts |= {"y": "all of these", "z": "all of these it"}
+    assert made_classes(spark, texts, 3, 0.5) == {("y", "z")}
+
+
+def test_rows_below_a_frequent_shingle_are_dealt_into_blocks(spark, monkeypatch):
+    texts = made_texts(7)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    tokens, kinds = neardup.np.arange(5, dtype="u8"), neardup.np.full(5, 60)
+    which, part, node = neardup.dealt(tokens, kinds, 77, 0, 8)
+    assert len(which) > 5 and len(set(node.tolist())) == len(node)
+    sets = {i: neardup.shingles(x, 3) for i, x in texts.items()}
+    counts = neardup.np.zeros(1 << 20, dtype="u1")
+    for s in {x.tobytes(): x for x in sets.values()}.values():
+        counts[neardup.cells_of(s, 20)] += 1
+    kinds = neardup.np.where(counts > 1, 8 * neardup.np.log2(neardup.np.maximum(counts, 1)) + 1, counts).astype("u1")
+    blocked, plain = [], []
+    for most, out in ((4, blocked), (10**9, plain)):
+        monkeypatch.setattr(neardup, "BLOCK", most)
+        for k, s in enumerate(sets.values()):
+            if len(s):
+                part, node, place, more, tails = neardup.entries_of(s, kinds[neardup.cells_of(s, 20)], k, 0.5, 1)
+                out.append((neardup.np.array([k], dtype="i8").tobytes(), *map(neardup.planes, ([len(s)], [int((kinds[neardup.cells_of(s, 20)] <= 1).sum())], [len(node)])), node.view("u1").reshape(-1, 4)[:, :3].tobytes(), (place * 256 // len(s)).astype("u1").tobytes(), more.astype("u1").tobytes(), b"", neardup.packed_tails(tails)))
+    pairs = [{tuple(sorted(p)) for p in neardup.walk(x, 0.5).tolist()} for x in (blocked, plain)]
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_signatures_never_rule_out_too_much():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = neardup.np.array(sorted({rng.getrandbits(64) for _ in range(rng.randrange(1, 400))}), dtype="u8")
+        b = neardup.np.unique(neardup.np.concatenate([rng.sample(list(a), len(a) // 2), neardup.np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 900))], dtype="u8")]).astype("u8"))
+        both = len(neardup.np.intersect1d(a, b))
+        assert both <= neardup.most_shared(len(a), neardup.signature(a), len(b), neardup.signature(b)) <= min(len(a), len(b))
+
+
+def test_hot_classes_keep_their_pairs_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
+    monkeypatch.setattr(neardup, "PART", 4)
+    texts = made_texts(11)
+    texts |= {f"copy{k:02}": texts["t003"] for k in range(60)} | {f"other{k:02}": texts["t010"] for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(5)
+    members, pairs = neardup.similar_classes(df, 3, 0.5)
+    got = {tuple(sorted(r)) for r in neardup.pairs_across(members, pairs).unionByName(neardup.pairs_within(members)).collect()}
+    want = brute_pairs(texts, 3, 0.5)
+    assert got == want
+    grouped = {r["id"]: r for r in neardup.groups(members, pairs).collect()}
+    assert len(grouped) == len({i for i, x in texts.items() if len(x.split()) >= 3})
+    assert all(grouped[a]["group_no"] == grouped[b]["group_no"] for a, b in want)
+    sizes = {}
+    for r in grouped.values():
+        sizes[r["group_no"]] = sizes.get(r["group_no"], 0) + 1
+    assert all(r["group_size"] == sizes[r["group_no"]] for r in grouped.values())

@@ -118,6 +118,20 @@ def test_ssml(spark):
     assert one(spark, X.build_ssml(F.col("t")), t="  ") == "<speak><p><s></s></p></speak>"
 
 
+def test_ssml_cuts_long_sentences_and_skips_blank_paragraphs(spark):
+    long = "alpha beta gamma, " * 90 + "end."
+    got = one(spark, X.build_ssml(F.col("t")), t=f"{long}\n\n\t\n\nShort.\n\n\n")
+    pieces = [p.split("</s>")[0] for p in got.split("<s>")[1:]]
+    assert len(pieces) > 3 and all(len(p.encode()) <= 902 for p in pieces) and pieces[-1] == "Short."
+    assert "<p></p>" not in got and got.count("<p>") == 2
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    assert one(spark, S.not_blank(F.col("t")), t="\n\t\u2003\n") is None
+    assert one(spark, S.tail(F.col("t"), 6), t="abc\n d\n\n") == "d"
+    assert one(spark, S.normalize_whitespace(F.col("t")), t="\u3000a\n b\x85") == "a b"
+
+
 def test_lexicon(spark):
     entries = [("SQL", "sequel"), ("NoSQL", "no sequel"), ("SQL", "never"), ("Pkl", "pee kay ell")]
     apply = X.apply_lexicon(F.col("t"), entries)

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(c: Column) -> Column:
+    """Without the white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s++\z", "")
+
+
 def xml_escape(c: Column) -> Column:
     """The five XML entities; the ampersand first, so that nothing is escaped twice."""
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
@@ -61,7 +66,7 @@ def arxiv_id(url: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -72,7 +77,7 @@ def collapse_blank_lines(c: Column) -> Column:
 
 def tail(c: Column, n: int) -> Column:
     """The last ``n`` characters, trimmed."""
-    return F.trim(F.right(c, F.lit(n)))
+    return strip(F.right(c, F.lit(n)))
 
 
 def head(c: Column, n: int) -> Column:
@@ -81,7 +86,7 @@ def head(c: Column, n: int) -> Column:
 
 def strip_code_fence(c: Column) -> Column:
     """The inside of a fenced block, or the text as it is."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
 def file_stem(c: Column, suffixes: tuple[str, ...] = (".md", ".markdown", ".txt")) -> Column:
@@ -102,21 +107,21 @@ def is_true(c: Column) -> Column:
 
 def not_blank(c: Column) -> Column:
     """The trimmed text, or null where nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def title_and_text(c: Column) -> Column:
     """struct(title, text) of an extraction whose first line may be ``TITLE: ...``."""
     titled = c.startswith("TITLE: ") & c.contains("\n")
-    title = F.trim(F.regexp_extract(c, r"^TITLE: ([^\n]*)\n", 1))
-    text = F.trim(F.regexp_replace(c, r"^TITLE: [^\n]*\n", ""))
+    title = strip(F.regexp_extract(c, r"^TITLE: ([^\n]*)\n", 1))
+    text = strip(F.regexp_replace(c, r"^TITLE: [^\n]*\n", ""))
     return F.struct(F.when(titled, title).otherwise("Untitled PDF").alias("title"), F.when(titled, text).otherwise(c).alias("text"))
 
 
 def atom_title(xml: Column) -> Column:
     """The first title behind the first entry, on one line."""
     found = F.regexp_extract(xml, r"(?s)<entry>.*?<title>(.*?)</title>", 1)
-    return F.nullif(F.trim(F.replace(found, F.lit("\n"), F.lit(" "))), F.lit(""))
+    return F.nullif(strip(F.replace(found, F.lit("\n"), F.lit(" "))), F.lit(""))
 
 
 def rfc2822(at: Column) -> Column:

@@ -6,14 +6,17 @@ state (long sentences, sentence packing of oversized paragraphs, HTML trees).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.functions.scalars import xml_escape
+from wordloom.functions.scalars import strip, xml_escape
 
 CHUNK_BYTES = 3600
 SENTENCE_BYTES = 900
@@ -41,6 +44,70 @@ def split_sentences(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_SENTENCE), F.lit(0))
 
 
+# The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = ";:,\n"
+
+
+class _Places:
+    """Where a text can be cut: byte offsets of its characters, and its blanks in order."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.at = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode()) for c in text)]
+        self.blanks = [i for i, c in enumerate(text) if c in WHITE]
+
+    def within(self, start: int, most: int) -> int:
+        """The end of the longest piece from ``start`` of at most ``most`` bytes."""
+        return bisect_right(self.at, self.at[start] + most) - 1
+
+    def last_blank(self, start: int, end: int) -> int | None:
+        k = bisect_left(self.blanks, end) - 1
+        return self.blanks[k] if k >= 0 and self.blanks[k] >= start else None
+
+    def behind_blanks(self, start: int, end: int) -> int:
+        """The first place from ``start`` that is no blank, at most ``end``."""
+        return end - len(self.text[start:end].lstrip(WHITE))
+
+    def filled(self, start: int, size: int, places: list[int]) -> int | None:
+        """The first of ``places`` before which at least ``size`` bytes stand, blanks at the end not counted."""
+        for place in places[bisect_left(places, bisect_left(self.at, self.at[start] + size)) :]:
+            if self.at[start + len(self.text[start:place].rstrip(WHITE))] - self.at[start] >= size:
+                return place
+        return None
+
+
+def _at_words(text: str, most: int) -> Iterator[str]:
+    """Cut at the last blank within the size, else behind ``most`` characters."""
+    places, start = _Places(text), 0
+    while places.at[-1] - places.at[start] > most:
+        cut = places.last_blank(start, places.within(start, most))
+        cut = min(start + most, len(text)) if cut is None else cut
+        yield text[start:cut].rstrip(WHITE) + ". "
+        start = places.behind_blanks(cut, len(text))
+    if start < len(text):
+        yield text[start:]
+
+
+def _at_separators(text: str, most: int) -> Iterator[str]:
+    """Cut at the first separator past half the size; where none comes within the size, at its last blank."""
+    places, start = _Places(text), 0
+    separators = [i for i, c in enumerate(text) if c in SEPARATORS]
+    while start < len(text):
+        cut = places.filled(start, most // 2, separators)
+        full = bisect_left(places.at, places.at[start] + most)  # the piece that reaches the size ends here
+        after = None if cut is None else cut + 1
+        if full <= len(text) and (cut is None or cut >= full):
+            blank = places.last_blank(start, places.within(start, most))
+            if blank is not None:
+                cut, after = blank, places.behind_blanks(blank, full)
+        if cut is None:
+            yield text[start:]
+            return
+        yield text[start:cut].rstrip(WHITE) + ". "
+        start = after
+
+
 def long_sentence_pieces(sentence: str, most: int = SENTENCE_BYTES) -> list[str]:
     """A sentence cut to pieces of at most ``most`` bytes (but for one word longer than that).
 
@@ -49,69 +116,44 @@ def long_sentence_pieces(sentence: str, most: int = SENTENCE_BYTES) -> list[str]
     """
     if len(sentence.encode()) <= most:
         return [sentence]
-    cut, piece, size = [], "", 0
-    for ch in sentence:
-        if ch in ";:,\n" and len(piece.rstrip().encode()) >= most // 2:
-            cut.append(piece.rstrip() + ". ")
-            piece, size = "", 0
-            continue
-        piece += ch
-        size += len(ch.encode())
-        if size >= most:
-            at = _last_blank(piece, most)
-            if at is not None:
-                cut.append(piece[:at].rstrip() + ". ")
-                piece = piece[at:].lstrip()
-                size = len(piece.encode())
-    if piece:
-        cut.append(piece)
-    out = []
-    for rest in cut:
-        while len(rest.encode()) > most:
-            at = _last_blank(rest, most)
-            at = len(rest[:most]) if at is None else at
-            out.append(rest[:at].rstrip() + ". ")
-            rest = rest[at:].lstrip()
-        if rest:
-            out.append(rest)
-    return out
-
-
-def _last_blank(s: str, most: int) -> int | None:
-    """Characters before the last blank within ``most`` bytes."""
-    window = s.encode()[:most].decode(errors="ignore")
-    return next((i for i in range(len(window) - 1, -1, -1) if window[i].isspace()), None)
+    return [piece for part in _at_separators(sentence, most) for piece in _at_words(part, most)]
 
 
-@F.pandas_udf(_TEXTS)
-def cut_long_sentences(sentences: pd.Series) -> pd.Series:
-    """Each text's sentences with the long ones cut."""
-    return sentences.map(lambda s: None if s is None else [p for x in s for p in long_sentence_pieces(x)])
+def spoken_sentences(sentences: list[str]) -> list[str]:
+    """A text's sentences with the long ones cut."""
+    return [p for x in sentences for p in long_sentence_pieces(x)]
 
 
-def pack(pieces: Column, most: int = CHUNK_BYTES, joiner: str = "") -> Column:
-    """Greedy packing of an array of texts into texts of at most ``most`` bytes.
+def packed(pieces: list[str], most: int = CHUNK_BYTES) -> list[str]:
+    """Greedy packing of texts into texts of at most ``most`` bytes; a longer piece is alone."""
+    upto = [0, *accumulate(len(p.encode()) for p in pieces)]
+    out, start = [], 0
+    while start < len(pieces):
+        end = max(bisect_right(upto, upto[start] + most) - 1, start + 1)
+        out.append("".join(pieces[start:end]))
+        start = end
+    return [x for x in out if x]
 
-    A piece longer than that is a chunk of its own.
-    """
-    size = F.octet_length
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        over = (size(acc.cur) + size(piece) + len(joiner) > most) & (acc.cur != "")
-        more = F.when(acc.cur == "", piece).otherwise(F.concat(acc.cur, F.lit(joiner), piece))
-        done = F.when(over, F.array_append(acc.done, acc.cur)).otherwise(acc.done)
-        return F.struct(done.alias("done"), F.when(over, piece).otherwise(more).alias("cur"))
+@F.pandas_udf(T.ArrayType(_TEXTS))
+def cut_long_sentences(paragraphs: pd.Series) -> pd.Series:
+    """The sentences of each paragraph with the long ones cut."""
+    return paragraphs.map(lambda ps: None if ps is None else [spoken_sentences(list(p)) for p in ps])
 
-    def last(acc: Column) -> Column:
-        return F.when(acc.cur == "", acc.done).otherwise(F.array_append(acc.done, acc.cur))
 
-    return F.aggregate(pieces, start, step, last)
+def pack(pieces: Column, most: int = CHUNK_BYTES) -> Column:
+    """``packed`` of an array column."""
+    return F.pandas_udf(lambda c: c.map(lambda x: None if x is None else packed(list(x), most)), _TEXTS)(pieces)
 
 
 def speech_chunks(c: Column, most: int = CHUNK_BYTES) -> Column:
-    """The chunks a text is spoken in; a short text is one."""
-    return F.when(F.octet_length(c) <= most, F.array(c)).otherwise(pack(cut_long_sentences(split_sentences(c)), most))
+    """The chunks a text is spoken in; a short text is one, its sentences uncut."""
+
+    def chunks(texts: pd.Series, sentences: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [t] if len(t.encode()) <= most else packed(spoken_sentences(list(x)), most) for t, x in zip(texts, sentences)])
+
+    long = F.when(F.octet_length(c) > most, split_sentences(c)).when(c.isNotNull(), F.expr("cast(array() as array<string>)"))
+    return F.pandas_udf(chunks, _TEXTS)(c, long)
 
 
 def apply_lexicon(c: Column, entries: list[tuple[str, str]]) -> Column:
@@ -133,47 +175,40 @@ def section_titles(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?m)^[^\S\n]*## (?!#)(.*)$"), F.lit(1))
 
 
+_HEADER = r"[^\S\n]*## (?!#)"
+
+
 def parse_sections(c: Column) -> Column:
     """array<struct<title, body>> of a text with ``## `` headers; empty without any.
 
     Text before the first header is a section without title; a body opens with its title.
+    One pass cuts the text before each header line; a part that is no header's is the opening.
     """
-    lines = F.split(c, "\n")
-    header = r"^\s*## (?!#)"
-    empty = F.expr("cast(array() as array<struct<title:string,lines:array<string>>>)")
-
-    def step(acc: Column, line: Column) -> Column:
-        title = F.trim(F.regexp_replace(line, header, ""))
-        fresh = F.array_append(acc, F.struct(title.alias("title"), F.expr("cast(array() as array<string>)").alias("lines")))
-        opened = F.when(F.size(acc) == 0, F.array(F.struct(F.lit(None).cast("string").alias("title"), F.array(line).alias("lines"))))
-        end = F.element_at(acc, -1)
-        grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(end.title.alias("title"), F.array_append(end.lines, line).alias("lines")))
-        return F.when(line.rlike(header), fresh).otherwise(F.coalesce(opened, grown))
-
-    def strip(x: Column) -> Column:
-        return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-    def body(s: Column) -> Column:
-        rest = strip(F.array_join(s.lines, "\n"))
-        text = F.when(s.title.isNull(), rest).when(rest == "", s.title).otherwise(F.concat(s.title, F.lit("\n\n"), rest))
-        return F.struct(s.title.alias("title"), text.alias("body"))
-
-    found = F.transform(F.aggregate(lines, empty, step), body)
-    return F.when(F.exists(lines, lambda x: x.rlike(header)), F.filter(found, lambda s: s.title.isNotNull() | (s.body != ""))).otherwise(
+    parts = F.split(c, rf"(?md)^(?={_HEADER})")
+
+    def section(part: Column) -> Column:
+        title = F.when(part.rlike(rf"(?d)\A{_HEADER}"), strip(F.regexp_extract(part, rf"(?d)\A{_HEADER}([^\n]*)", 1)))
+        rest = strip(F.when(title.isNull(), part).otherwise(F.regexp_replace(part, r"\A[^\n]*\n?", "")))
+        body = F.when(title.isNull(), rest).when(rest == "", title).otherwise(F.concat(title, F.lit("\n\n"), rest))
+        return F.struct(title.alias("title"), body.alias("body"))
+
+    found = F.transform(parts, section)
+    some = F.filter(found, lambda s: s.title.isNotNull() | (s.body != ""))
+    return F.when(F.exists(found, lambda s: s.title.isNotNull()), some).otherwise(
         F.when(c.isNotNull(), F.expr("cast(array() as array<struct<title:string,body:string>>)"))
     )
 
 
 def build_ssml(c: Column) -> Column:
-    """Paragraphs and sentences marked for speech; blank ones are dropped."""
-    paragraphs = F.filter(F.split(c, "\n\n"), lambda p: F.trim(p) != "")
+    """Paragraphs and sentences marked for speech, long sentences cut; blank ones are dropped."""
+    paragraphs = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda p: p != "")
 
-    def sentences(p: Column) -> Column:
-        kept = F.filter(F.transform(split_sentences(p), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    def marked(sentences: Column) -> Column:
+        kept = F.filter(F.transform(sentences, strip), lambda s: s != "")
         return F.concat(F.lit("<p>"), F.array_join(F.transform(kept, lambda s: F.concat(F.lit("<s>"), xml_escape(s), F.lit("</s>"))), ""), F.lit("</p>"))
 
-    spoken = F.when(F.size(paragraphs) == 0, "<p><s></s></p>").otherwise(F.array_join(F.transform(paragraphs, sentences), ""))
-    return F.concat(F.lit("<speak>"), spoken, F.lit("</speak>"))
+    spoken = F.array_join(F.transform(cut_long_sentences(F.transform(paragraphs, split_sentences)), marked), "")
+    return F.concat(F.lit("<speak>"), F.when(spoken == "", "<p><s></s></p>").otherwise(spoken), F.lit("</speak>"))
 
 
 ANCHOR_PREFIXES = (60, 40, 25, 15)
@@ -232,43 +267,45 @@ def locate_sections(text: Column, titles_and_anchors: Column, end_anchor: Column
         return F.struct(s.title.alias("title"), F.substring(text, s.at, upto - s.at).alias("body"))
 
     parts = F.transform(walked.found, cut)
-    thin = F.exists(parts, lambda p: F.octet_length(F.trim(p.body)) < SLICE_LEAST)
+    thin = F.exists(parts, lambda p: F.octet_length(strip(p.body)) < SLICE_LEAST)
     return F.when((F.size(titles_and_anchors) > 0) & walked.ok & ~thin, parts)
 
 
+def _paragraph_parts(paragraph: str, most: int) -> Iterator[str]:
+    """A long paragraph cut behind its last ``. `` within the size, else behind a line break,
+    else at the start of a character."""
+    places, start = _Places(paragraph), 0
+    stops = [i + 2 for i in range(len(paragraph) - 1) if paragraph.startswith(". ", i)]
+    breaks = [i + 1 for i, c in enumerate(paragraph) if c == "\n"]
+    while places.at[-1] - places.at[start] > most:
+        end = cut = places.within(start, most)
+        for ends, least in ((breaks, start + 1), (stops, start + 2)):  # the better kind is asked last
+            k = bisect_right(ends, end) - 1
+            if k >= 0 and ends[k] >= least:
+                cut = ends[k]
+        yield paragraph[start:cut].strip(WHITE)
+        start = places.behind_blanks(cut, len(paragraph))
+    yield paragraph[start:].strip(WHITE)
+
+
 def paragraph_pieces(section: str, most: int = SECTION_BYTES) -> list[str]:
     """A section cut at blank lines into pieces of at most ``most`` bytes.
 
-    A paragraph longer than that is cut behind its last ``. `` within the size, else a line
-    break, else at the start of a character.
+    Paragraphs are joined as far as they fit; one that is longer stands in parts of its own.
     """
     if len(section.encode()) <= most:
-        return [section.strip()]
-    out, cur = [], ""
-    for p in section.split("\n\n"):
-        p = p.strip("\n")
-        if not p:
-            continue
-        if len(p.encode()) > most:
-            if cur:
-                out.append(cur.strip())
-                cur = ""
-            while len(p.encode()) > most:
-                window = p.encode()[:most].decode(errors="ignore")
-                at = window.rfind(". ") + 2
-                if at < 2:
-                    at = window.rfind("\n") + 1 or len(window)
-                out.append(p[:at].strip())
-                p = p[at:].lstrip()
-            if p:
-                out.append(p.strip())
-            continue
-        if cur and len(cur.encode()) + len(p.encode()) + 2 > most:
-            out.append(cur.strip())
-            cur = ""
-        cur = f"{cur}\n\n{p}" if cur else p
-    if cur:
-        out.append(cur.strip())
+        return [section.strip(WHITE)]
+    paragraphs = [x for x in (p.strip("\n") for p in section.split("\n\n")) if x]
+    upto = [0, *accumulate(len(p.encode()) + 2 for p in paragraphs)]
+    out, start = [], 0
+    while start < len(paragraphs):
+        end = bisect_right(upto, upto[start] + most + 2) - 1
+        if end == start:
+            out += _paragraph_parts(paragraphs[start], most)
+            start += 1
+        else:
+            out.append("\n\n".join(paragraphs[start:end]).strip(WHITE))
+            start = end
     return [x for x in out if x]
 
 

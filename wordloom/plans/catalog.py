@@ -369,20 +369,16 @@ _ABBR = "(^|[^\\p{L}])(\\p{L}|(?i:" + "|".join(X.SPOKEN_ABBREVIATIONS) + "))[.]"
 _MASKED = "regexp_replace(regexp_replace(" + _MASK.format("text") + f", '{_ABBR}', '\\1\\2' || chr(1), 'g'), '{_ABBR}', '\\1\\2' || chr(1), 'g')"
 
 
-@query(
-    f"""WITH m AS (SELECT doc_id, regexp_extract_all({_MASKED}, '(?s).[^.!?]*[.!?]|(?s).+') AS l FROM documents
-      WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text, '[\\p{{M}}]'))
-    SELECT doc_id, len(l) AS n_sentences, md5(replace(array_to_string(l, chr(2)), chr(1), '.')) AS sentences_md5 FROM m"""
-)
+@query()
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Spoken sentences. Texts with combining marks are left to ``sentence_split_all``: the
-    SQL leaves them out, as its letter classes differ from Java's alphabetic ones there."""
-    return _sentences(table(spark, folder, "documents").filter(~F.col("text").rlike(r"\p{M}")))
+    """Spoken sentences of every document. No SQL: its letter classes differ from the
+    alphabetic ones where a text holds combining marks."""
+    return _sentences(table(spark, folder, "documents"))
 
 
 @query()
 def sentence_split_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Spoken sentences of every document, those with combining marks too."""
+    """The former name of ``sentence_split``."""
     return _sentences(table(spark, folder, "documents"))
 
 
@@ -402,47 +398,51 @@ def _sentences(documents: DataFrame) -> DataFrame:
     md5(CASE WHEN title IS NULL THEN rest WHEN rest = '' THEN title ELSE title || chr(10) || chr(10) || rest END) AS body_md5 FROM g WHERE title IS NOT NULL OR rest <> ''"""
 )
 def section_parse(spark: SparkSession, folder: str) -> DataFrame:
-    e = marts.once(table(spark, folder, "episodes"), "id", "cleaned_text").filter("cleaned_text is not null")
+    e = table(spark, folder, "episodes").select("id", "cleaned_text").filter("cleaned_text is not null")
     found = X.parse_sections(F.col("cleaned_text"))
-    return e.select("id", F.posexplode(found).alias("section_no", "s")).select("id", "section_no", "s.title", F.md5("s.body").alias("body_md5"))
+    return e.select("id", F.posexplode(found).alias("section_no", "s")).select("id", "section_no", "s.title", F.md5("s.body").alias("body_md5")).distinct()
 
 
 @query()
 def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
     chunks = X.speech_chunks(F.col("text"))
-    t = _texts(spark, folder).distinct()
-    return t.select("id", F.posexplode(chunks).alias("chunk_no", "chunk")).select("id", "chunk_no", F.octet_length("chunk").alias("n_bytes"), F.md5("chunk").alias("chunk_md5"))
+    each = _texts(spark, folder).select("id", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return each.select("id", "chunk_no", F.octet_length("chunk").alias("n_bytes"), F.md5("chunk").alias("chunk_md5")).distinct()
 
 
 @query()
 def section_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    return sections.timeline(sections.speech_plan(_texts(spark, folder).distinct()))
+    return sections.timeline(sections.in_order(sections.spoken_chunks(_texts(spark, folder)).drop("chunk").distinct()))
 
 
 @query()
 def chunk_roles_tail(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "episodes").select("id", F.col("cleaned_text").alias("text")).filter("text is not null").distinct()
-    return sections.cleaning_plan(raw).select("id", "piece_no", "section_no", "starts_section", "role", F.length("context").alias("context_chars"), F.md5("piece").alias("piece_md5"))
+    raw = table(spark, folder, "episodes").select("id", F.col("cleaned_text").alias("text")).filter("text is not null")
+    pieces = sections.cleaned_pieces(raw).withColumn("piece_md5", F.md5("piece")).drop("piece").distinct()
+    return sections.with_roles(pieces).select("id", "piece_no", "section_no", "starts_section", "role", F.length("context").alias("context_chars"), "piece_md5")
 
 
 @query()
 def ssml_build(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(spark, folder).distinct().select("id", F.md5(X.build_ssml(F.col("text"))).alias("ssml_md5"))
+    return _texts(spark, folder).select("id", F.md5(X.build_ssml(F.col("text"))).alias("ssml_md5")).distinct()
 
 
 @query()
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Pages are not in the tables; the cleaned texts are put into pages and read back."""
-    e = marts.once(table(spark, folder, "episodes"), "id", "title", "cleaned_text").filter("cleaned_text is not null")
+    e = table(spark, folder, "episodes").select("id", "title", "cleaned_text").filter("cleaned_text is not null")
     paragraphs = F.array_join(F.transform(F.split("cleaned_text", "\n\n"), lambda p: F.concat(F.lit("<p>"), S.xml_escape(p), F.lit("</p>"))), "")
     page = F.concat(F.lit("<html><head><title>"), S.xml_escape(F.col("title")), F.lit("</title></head><body><nav>Menu</nav><article>"), paragraphs, F.lit("</article><footer>End</footer></body></html>"))
-    return e.select("id", X.article_text(page).alias("t")).select("id", "t.title", F.md5("t.text").alias("text_md5"))
+    return e.select("id", X.article_text(page).alias("t")).select("id", "t.title", F.md5("t.text").alias("text_md5")).distinct()
 
 
 @query()
 def document_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document through clean, summarise, describe and speech with the local provider."""
-    return pipeline.run(pipeline.documents_of(table(spark, folder, "episodes")), pipeline.LocalProvider())
+    """Every document through clean, summarise, describe and speech with the local provider;
+    long texts by their hash, so that repeated rows fold as small rows."""
+    out = pipeline.staged(pipeline.documents_of(table(spark, folder, "episodes")), pipeline.LocalProvider())
+    small = out.withColumns({c: F.md5(c) for c in ("cleaned_text", "transcript", "description")})
+    return small.distinct()
 
 
 @query(

@@ -46,7 +46,7 @@ class LocalProvider:
         keep = F.greatest(F.ceil(F.size(pieces) * 0.25).cast("int"), F.lit(1))
         about = F.filter(pieces, lambda s: F.coalesce(F.contains(F.lower(s), F.lower(focus)), F.lit(False)))
         chosen = F.when(F.size(about) > 0, about).otherwise(pieces)
-        return F.trim(F.array_join(F.slice(chosen, 1, keep), ""))
+        return S.strip(F.array_join(F.slice(chosen, 1, keep), ""))
 
     def describe(self, text: Column) -> Column:
         pieces = F.slice(X.split_sentences(F.substring(text, 1, READ_CHARS)), 1, 3)
@@ -63,8 +63,9 @@ def documents_of(episodes: DataFrame) -> DataFrame:
     return rows.select("id", "title", "source_type", "raw_text", F.col("summarize_focus").alias("focus"), (F.coalesce("summarize", F.lit(0)) != 0).alias("wants_summary"))
 
 
-def run(documents: DataFrame, provider: Provider, stop_after: str = "speech") -> DataFrame:
-    """The documents after the stages up to ``stop_after``; repeated rows give one row."""
+def staged(documents: DataFrame, provider: Provider, stop_after: str = "speech") -> DataFrame:
+    """The documents after the stages up to ``stop_after``, row by row: repeated rows stay repeated,
+    so that no text is shuffled to fold them."""
     if stop_after not in STAGES:
         raise ValueError(f"{stop_after!r} is no stage")
     upto = STAGES[: STAGES.index(stop_after) + 1]
@@ -78,4 +79,9 @@ def run(documents: DataFrame, provider: Provider, stop_after: str = "speech") ->
         out = out.withColumn("description", provider.describe(spoken))
     if "speech" in upto:
         out = out.withColumn("duration_secs", F.floor(provider.seconds(spoken)).cast("int"))
-    return out.drop("raw_text", "focus", "wants_summary").dropDuplicates(["id"])
+    return out.drop("raw_text", "focus", "wants_summary")
+
+
+def run(documents: DataFrame, provider: Provider, stop_after: str = "speech") -> DataFrame:
+    """``staged``, with one row an id; this shuffles the texts."""
+    return staged(documents, provider, stop_after).dropDuplicates(["id"])

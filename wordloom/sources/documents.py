@@ -23,7 +23,7 @@ def text_uploads(spark: SparkSession, path: str, most: int = TEXT_BYTES) -> Data
     """(path, title, text, accepted) of text and markdown files in UTF-8."""
     files = spark.read.format("binaryFile").load(path).filter(F.lower("path").rlike(r"\.(md|markdown|txt)$"))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    ok = (F.col("length") <= most) & text.isNotNull() & (F.trim(text) != "")
+    ok = (F.col("length") <= most) & text.isNotNull() & (S.strip(text) != "")
     return files.select("path", S.file_stem(F.col("path")).alias("title"), F.when(ok, text).alias("text"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 

@@ -65,6 +65,37 @@ def test_rolling_corrections_change_affected_dates_only(spark):
     assert changed == [dt.date(2025, 1, 20) + dt.timedelta(days=k) for k in range(7)]
 
 
+def stepwise(spark, runs):
+    """The state after the runs, and what brute force gives when a later run replaces an id."""
+    state, kept = rolling.RollingState(0, None, None), {}
+    for run in runs:
+        state = rolling.advance(state, spark.createDataFrame(run, USAGE))
+        kept |= {r[0]: r for r in run if r[4] is not None}
+    got = {(r["entity"], r["day"], r["window_days"]): (r["sum_input_tokens"], r["sum_output_tokens"]) for r in rolling.report(state).collect()}
+    return state, got, brute(list(kept.values()))
+
+
+def test_an_id_that_returns_with_other_amounts_is_corrected(spark):
+    day = lambda k: dt.datetime(2025, 3, 1) + dt.timedelta(days=k)
+    first = [(1, "a", 10, 1, day(5), "x"), (2, "a", 3, 0, day(6), "x"), (3, "a", 4, 0, day(20), "x"), (4, "b", 9, 9, day(0), "x")]
+    second = [(1, "a", 99, 1, day(5), "x"), (2, "a", 3, 0, day(6), "x"), (3, "b", 4, 0, day(2), "x"), (5, "a", 7, 0, day(1), "x")]
+    third = [(5, None, 7, 2, day(40), "x"), (6, "b", 1, 1, day(50), "x"), (4, "a", 9, 9, day(30), "x")]
+    for runs in ([first, second], [first, second, third, third]):
+        state, got, want = stepwise(spark, runs)
+        assert got == want
+    again = rolling.load(spark, state.folder, 2)
+    assert {(r["entity"], r["day"]) for r in again.rolling.collect()} != {(r["entity"], r["day"]) for r in state.rolling.collect()}
+
+
+def test_random_runs_with_corrections_equal_brute_force(spark):
+    rng = random.Random(8)
+    runs = []
+    for k in range(3):
+        runs.append([(i, rng.choice(["a", "b", None]), rng.randint(0, 9), rng.randint(0, 3), dt.datetime(2025, 1, 1) + dt.timedelta(days=rng.randint(k * 10, k * 25 + 30)), "x") for i in range(k * 15, k * 15 + 40)])
+    _, got, want = stepwise(spark, runs)
+    assert got == want
+
+
 def test_rolling_of_no_rows(spark):
     assert rolling.report(rolling.rolling_state(spark.createDataFrame([], USAGE), batches=3)).count() == 0
 
@@ -79,6 +110,12 @@ def test_timeline_and_chapters(spark):
     assert [(r["start_ms"], r["end_ms"]) for r in sections.chapters(episodes).orderBy("chapter_no").collect()] == [(0, 12500), (12500, 42000), (42000, 60000)]
 
 
+def test_blank_sections_fall_back_to_one_chunk(spark):
+    texts = spark.createDataFrame([("e", " \n\t"), ("f", "## A\nx\n## B\n"), ("g", "")], "id string, text string")
+    got = {(r["id"], r["section_no"]): (r["chunk"], r["pause"]) for r in sections.speech_plan(texts).collect()}
+    assert got == {("e", 0): (" \n\t", False), ("f", 0): ("A\n\nx", True), ("f", 1): ("B", False), ("g", 0): ("", False)}
+
+
 def test_cleaning_plan_and_reassembly(spark):
     text = "Lead.\n\n## One\n" + "First body. " * 4 + "\n\n## Two\nSecond body."
     plan = sections.cleaning_plan(spark.createDataFrame([("d", text)], "id string, text string"))

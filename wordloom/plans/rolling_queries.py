@@ -10,7 +10,8 @@ from wordloom.sources.tables import table
 
 
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    state = rolling.rolling_state(table(spark, folder, "ai_usage"))
+    """All windows, from the state after two runs of arrivals."""
+    state = rolling.rolling_state(table(spark, folder, "ai_usage"), batches=2)
     return rolling.report(state).select(
         F.col("entity").alias("provider"),
         F.date_format("day", "yyyy-MM-dd").alias("usage_day"),

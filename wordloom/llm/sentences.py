@@ -2,7 +2,7 @@
 
 The standard character-property rules: a terminator (STerm, ATerm), what closes behind it
 (Close), blanks (Sp). A full stop is no boundary inside numbers and words, before a lower-case
-word, or behind an abbreviation of the language. No terminator is a boundary when what
+word, or behind an abbreviation of the passage's language. No terminator is a boundary when what
 follows continues the sentence (comma, dash, a word tied to the quotation), and speech quoted
 within a sentence does not end it: a question or exclamation in quotes that opens the sentence
 goes on with who said it. Scripts written without terminators end a sentence with the blank
@@ -45,14 +45,26 @@ MAY_END = set("inc ltd co corp jr bros a.m p.m u.s u.k u.n d.c e.u etc uu ee ph.
 # Short month names with a number behind them; month names behind an ordinal's point.
 SHORT_MONTHS = set("jan feb mar apr jun jul aug sept sep oct nov dec".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
-SUPPRESSED = {w for words in ABBREVIATIONS.values() for w in words.split()}
+SUPPRESSED = {lang: {*ABBREVIATIONS[""].split(), *words.split()} for lang, words in ABBREVIATIONS.items()}
+ANY = {w for words in SUPPRESSED.values() for w in words}
+# Frequent words that tell the languages of one script apart.
+FREQUENT = {
+    "en": "the of and to in is that was for it with as on his her by this are from they at be were which not have had he she we you or an",
+    "de": "der die das und ist nicht von den zu mit sich des auf für im dem ein eine als auch es an werden aus er hat dass sie wird bei",
+    "fr": "le la les de des et est un une du dans que qui pour pas sur au avec il elle se ce sont par plus ne en aux cette l'on était",
+    "es": "el la los las de que y en un una por con no para se del al es lo como más su sus fue pero ha está son este entre",
+    "pt": "o a os as de que e em um uma por com não para se do da dos das no na ao é mais como foi ele mas são este pela",
+    "it": "il lo la gli di che e in un una per con non si del della dei al è sono come più ha ma nel alla anche questo era le",
+}
+#: Scripts written in one of the languages above.
+SCRIPTS = (("ru", "Cyrillic"), ("el", "Greek"), ("hi", "Devanagari"), ("ar", "Arabic"))
 
 _BLANK_LINE = regex.compile(r"\n[^\S\n]*(?=\n)|\r\n[^\S\n]*(?=\r?\n)| ")
 _HEADING = regex.compile(r"[^\S\n]*#{1,6}[^\S\n]+\S")
 _ITEM = regex.compile(r"[^\S\n]*(?:[-*•‣◦·–—][^\S\n]+|\(?\d{1,3}[.)][^\S\n]+|\(?[A-Za-z]\)[^\S\n]+)\S")
 _SURE_ITEM = regex.compile(r"[^\S\n]*[-*•‣◦][^\S\n]+\S")
 # Standard properties: terminators with what closes behind them. An ellipsis counts as a stop.
-_ENDS = regex.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]|(?<=\p{Greek});)+(?P<close>(?:[)\]}）】〉》」』”’»›'\"]|(?<=„[^„“”]{0,400})“|(?<=«[^«»]{0,400})\s»)*)(?P<space>[\s\p{Sentence_Break=Sp}]*)")
+_ENDS = regex.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]|(?<=\p{Greek});)+(?P<close>(?:[)\]}）】〉》」』”’»›'\"]|(?<=„[^„“”]*)“|(?<=«[^«»]*)\s»)*)(?P<space>[\s\p{Sentence_Break=Sp}]*)")
 _GAP = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])\s+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])")
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 _BEFORE = regex.compile(r"(?:^|[\s(\[{“„«\"'‘¿¡—–-])((?:\p{L}\p{M}*\.)*[\p{L}\p{M}]+)$")
@@ -66,6 +78,53 @@ QUOTE_CLOSERS = set("”“»«」』›’\"'")
 BRACKET_CLOSERS = set(")]}）】〉》")
 
 
+_OF_SCRIPT = [(lang, regex.compile(rf"\p{{{name}}}")) for lang, name in SCRIPTS]
+_LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}’']+")
+_WORDS_OF: dict[str, set[str]] = {}
+for _lang, _words in FREQUENT.items():
+    for _w in _words.split():
+        _WORDS_OF.setdefault(_w, set()).add(_lang)
+
+
+def votes(passage: str) -> dict[str, float]:
+    """Frequent words of each Latin-script language; one that several share counts for each in part."""
+    out = dict.fromkeys(FREQUENT, 0.0)
+    for w in _LATIN_WORD.findall(passage.lower()):
+        for lang in _WORDS_OF.get(w, ()):
+            out[lang] += 1 / len(_WORDS_OF[w])
+    return out
+
+
+def languages(passage: str, whole: str) -> set[str]:
+    """The languages a passage may be in, told by its script and frequent words.
+
+    A passage too short to tell takes those of its whole text beside its own; the text's tag is
+    not read, as tags are often wrong.
+    """
+    out = {lang for lang, letter in _OF_SCRIPT if letter.search(passage)}
+    found = votes(passage)
+    first, second = sorted(found.values(), reverse=True)[:2]
+    for told in (found,) if first >= 2 and first >= 1.5 * second else (found, votes(whole)):
+        most = max(told.values())
+        out |= {lang for lang, v in told.items() if v >= 0.7 * most}
+    return out
+
+
+class Passage:
+    """The abbreviations of a stretch of a text; its languages are told when first asked for."""
+
+    def __init__(self, text: str, begin: int, stop: int) -> None:
+        self.text, self.begin, self.stop = text, begin, stop
+        self.held: set[str] | None = None
+
+    def suppresses(self, key: str) -> bool:
+        if key not in ANY:
+            return False
+        if self.held is None:
+            self.held = {w for lang in languages(self.text[self.begin : self.stop], self.text) for w in SUPPRESSED[lang]}
+        return key in self.held or key in SUPPRESSED[""]
+
+
 def segments(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, is one unit) of the stretches that no sentence crosses."""
     at = 0
@@ -122,7 +181,12 @@ def quote_opened(text: str, start: int, end: int) -> int:
     return stack[-1][1] if stack else -1
 
 
-def is_boundary(text: str, start: int, m: regex.Match[str], stop: int) -> bool:
+def word_start(text: str, start: int, end: int) -> int:
+    """A place before the word that ends at ``end``: the last blank or line break, or ``start``."""
+    return max(start, text.rfind(" ", start, end), text.rfind("\n", start, end))
+
+
+def is_boundary(text: str, start: int, m: regex.Match[str], stop: int, passage: Passage) -> bool:
     """Whether the sentence that began at ``start`` ends with the terminators of ``m``."""
     close, space, after = m.group("close"), m.group("space"), m.end()
     if after >= stop:
@@ -158,7 +222,7 @@ def is_boundary(text: str, start: int, m: regex.Match[str], stop: int) -> bool:
     if lower:
         return False
     if mark == ".":
-        found = _BEFORE.search(text[max(start, m.start() - 16) : m.start()])
+        found = _BEFORE.search(text[word_start(text, start, m.start()) : m.start()])
         if found:
             name = found.group(1)
             key = name.lower()
@@ -166,7 +230,7 @@ def is_boundary(text: str, start: int, m: regex.Match[str], stop: int) -> bool:
                 return False
             if key in MAY_END:
                 return bool(word) and not word[0].isdigit()
-            if key in SUPPRESSED:
+            if passage.suppresses(key):
                 return key == "no" and bool(word) and not word[0].isdigit()
             if len(name) == 1 and name.isupper():
                 return False
@@ -196,8 +260,9 @@ def sentence_ends(text: str | None) -> list[tuple[int, int]]:
             if unspaced:
                 cuts += [(m.start(), m.end(), None) for m in _GAP.finditer(text, begin, stop)]
                 cuts.sort(key=lambda c: c[:2])
+            passage = Passage(text, begin, stop)
             for end, following, m in cuts:
-                if end > start and following < stop and (m is None or is_boundary(text, start, m, stop)):
+                if end > start and following < stop and (m is None or is_boundary(text, start, m, stop, passage)):
                     out.append((start, end))
                     start = following
         out.append((start, stop))

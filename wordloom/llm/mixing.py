@@ -10,8 +10,8 @@ Systematic sampling: within a source, documents stand in order of size (then of
 expected copies are summed up from the first, one random offset is added, and a document comes
 out once for each integer boundary its interval crosses - never more than ``max_repeats``
 times, and spread evenly over all sizes. The prefix sum is taken in two steps: over buckets of
-sizes and hashes (a table of fixed size), then within a bucket, so no source is held by one
-task.
+sizes and hashes, then within a bucket. A size class of a source has as many buckets as its
+documents need, so no task orders more than about ``BUCKET`` of them, whatever a source holds.
 
 Cases: documents of other or null sources and those without tokens are left out; a source
 without text reaches 0; no target, or no text at all, gives no rows; equal texts under several
@@ -20,6 +20,8 @@ ids are several documents; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ from wordloom.llm.tokens import RANKS, with_tokens
 from wordloom.session import written
 from wordloom.sources.tables import table
 
-#: Buckets a size class is dealt into by hash.
-SALT = 32
+#: Documents of one source and size class that a task orders; more are dealt into buckets by hash.
+BUCKET = 20_000
+#: Rows of the table of buckets up to which it is broadcast; a larger one is joined by a shuffle.
+FEW_BUCKETS = 200_000
 #: See largest_total.
 REACH = 0.9
 SEED = 9
@@ -72,7 +76,11 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     sized = written(with_tokens(documents.join(names, "source", "left_semi"), path), "p9-sized")
     size_class = F.floor(F.log2(F.col("n_tokens") + F.lit(1.0)) * 8)
     order = F.xxhash64("doc_id", F.lit(seed))
-    sized = sized.withColumn("bucket", (size_class * SALT + F.pmod(order, F.lit(SALT))).cast("int")).withColumn("h", order)
+    sized = sized.withColumn("size_class", size_class.cast("int")).withColumn("h", order)
+    classes = sized.groupBy("source", "size_class").agg(F.count("*").alias("n"))
+    salts = {(r["source"], r["size_class"]): math.ceil(r["n"] / BUCKET) for r in classes.filter(F.col("n") > BUCKET).collect()}  # sources x size classes at most
+    salt = F.coalesce(*[F.when((F.col("source") == s) & (F.col("size_class") == c), F.pmod("h", F.lit(k))) for (s, c), k in salts.items()], F.lit(0))
+    sized = sized.withColumn("bucket", F.struct("size_class", salt.cast("int").alias("salt")))
     buckets = written(sized.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")), "p9-buckets")
     known = {r["source"]: r["tokens"] for r in buckets.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     goals = [(r["source"], r["target_share"] or 0.0, r["max_repeats"] or 0, known.get(r["source"], 0)) for r in wanted.collect()]
@@ -80,7 +88,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     rates = spark.createDataFrame([(s, share, repeats, tokens, copies[s]) for s, share, repeats, tokens in goals], "source string, target_share double, max_repeats int, available_tokens bigint, expected double")
     rates = F.broadcast(rates)
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.select("source", "bucket", before.alias("before")).join(rates, "source")
+    starts = written(buckets.select("source", "bucket", before.alias("before")).join(rates, "source"), "p9-starts")
+    if starts.count() <= FEW_BUCKETS:
+        starts = F.broadcast(starts)
     place = F.row_number().over(W.partitionBy("source", "bucket").orderBy("n_tokens", "h", "doc_id"))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     upto = (F.col("before") + F.col("place")) * F.col("expected") + offset

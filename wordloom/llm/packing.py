@@ -1,7 +1,10 @@
 """Problem 8: texts of varying length packed into training rows of fixed capacity.
 
 Vector best-fit: a row has three capacities - tokens, number of documents, attention cost (the
-sum of squared lengths, as a row's documents attend within themselves). Items come by
+sum of squared lengths, as a row's documents attend within themselves; ``COST`` of the capacity
+squared, so that it binds where a row would hold few long texts). A row opened with a long piece
+may always spend the same part of the square of the room beside it, so that a text as long as
+the row has its row, and a long one can be filled up with short ones. Items come by
 descending length; each goes to the open row that keeps every constraint and whose residual
 vector, weighted, is the shortest after the item is in; with none, a row is opened.
 
@@ -32,7 +35,7 @@ SHARD_ITEMS = 20_000
 #: Documents a row may hold for each 16 tokens of capacity, and the part of capacity squared
 #: its attention may cost.
 TOKENS_A_DOCUMENT = 16
-COST = 1.0
+COST = 0.5
 #: Weights of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.05, 0.1)
 
@@ -41,6 +44,11 @@ def capacities(size: int) -> np.ndarray:
     return np.array([size, max(1, size // TOKENS_A_DOCUMENT), COST * size * size], dtype=float)
 
 
+def attention_left(size: float, opened: float) -> float:
+    """The attention that a row may still spend beside the piece it was opened with."""
+    return max(COST * size * size - opened * opened, COST * (size - opened) ** 2)
+
+
 def best_fit(sizes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     """(row of each item, number of rows)."""
     limit, weights = capacities(size), np.array(WEIGHTS)
@@ -62,6 +70,7 @@ def best_fit(sizes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
                 room, name = np.concatenate([room, np.empty_like(room)]), np.concatenate([name, np.empty_like(name)])
             k = n_open
             room[k], name[k] = limit - need, n_rows
+            room[k, 2] = attention_left(size, float(sizes[i]))
             n_open, n_rows = n_open + 1, n_rows + 1
         row[i] = name[k]
         if room[k, 0] < least or room[k, 1] < 1 or room[k, 2] < least * least:  # full for every item left
@@ -72,8 +81,10 @@ def best_fit(sizes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
 
 def pieces(documents: DataFrame, limits: DataFrame, path: str = RANKS) -> DataFrame:
     """(purpose, capacity, doc_id, piece_no, token_start, n_tokens) of every text and capacity."""
-    sizes = F.broadcast(limits.filter((F.col("unit") == "tokens") & F.col("purpose").startswith("training_row")).select("purpose", F.col("max_size").alias("capacity")))
-    each = with_tokens(documents, path).crossJoin(sizes)  # a few capacities
+    rows = limits.filter((F.col("unit") == "tokens") & F.col("purpose").startswith("training_row") & (F.col("max_size") > 0))
+    sizes = [F.struct(F.lit(r["purpose"]).alias("purpose"), F.lit(int(r["max_size"])).cast("int").alias("capacity")) for r in rows.select("purpose", "max_size").distinct().collect()]  # a few capacities
+    each = with_tokens(documents, path).select("doc_id", "n_tokens", F.explode(F.array(*sizes) if sizes else F.expr("cast(array() as array<struct<purpose:string,capacity:int>>)")).alias("c"))
+    each = each.select("doc_id", "n_tokens", "c.purpose", "c.capacity")
     cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.col("capacity").cast("bigint")))
     return each.select("purpose", "capacity", "doc_id", "n_tokens", cut.alias("token_start")).select(
         "purpose",
@@ -124,13 +135,25 @@ def p8_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
-    """For each capacity: rows, tokens, the mean filling, and the rows that volume alone needs."""
+    """For each capacity: rows, tokens, the mean filling, the rows that volume alone needs, and how
+    often each constraint decides: rows that can take no piece more, not even the shortest there
+    is, for want of tokens, of documents, of attention (a row may count for several)."""
     rows = p8_rows(spark, folder)
+    sizes = F.transform("documents", lambda d: d.n_tokens.cast("double"))
+    spent = F.aggregate(sizes, F.lit(0.0), lambda acc, n: acc + n * n)
+    size, largest = F.col("capacity").cast("double"), F.array_max(sizes)
+    beside = F.greatest(F.lit(COST) * size * size - largest * largest, F.lit(COST) * (size - largest) * (size - largest))
+    rows = rows.select("purpose", "capacity", "n_tokens", "n_pieces", "filling", (beside + largest * largest - spent).alias("attention"), F.array_min(sizes).alias("shortest"))
+    least = rows.groupBy(F.col("purpose").alias("_p"), F.col("capacity").alias("_c")).agg(F.min("shortest").alias("least"))
+    rows = rows.join(least, (F.col("purpose") == F.col("_p")) & (F.col("capacity") == F.col("_c")))
     return rows.groupBy("purpose", "capacity").agg(
         F.count("*").alias("n_rows"),
         F.sum("n_tokens").alias("n_tokens"),
         F.round(F.avg("filling"), 6).alias("mean_filling"),
         F.ceil(F.sum("n_tokens") / F.max("capacity")).alias("least_rows"),
+        F.count_if(F.col("capacity") - F.col("n_tokens") < F.col("least")).alias("full_by_tokens"),
+        F.count_if(F.col("n_pieces") >= F.greatest(F.lit(1), F.floor(F.col("capacity") / TOKENS_A_DOCUMENT))).alias("full_by_documents"),
+        F.count_if(F.col("attention") < F.col("least") * F.col("least")).alias("full_by_attention"),
     )
 
 

@@ -287,3 +287,46 @@ def test_hot_classes_keep_their_pairs_and_groups(spark, monkeypatch):
     for r in grouped.values():
         sizes[r["group_no"]] = sizes.get(r["group_no"], 0) + 1
     assert all(r["group_size"] == sizes[r["group_no"]] for r in grouped.values())
+
+
+def test_abbreviations_hold_in_their_own_language():
+    from wordloom.llm.sentences import sentence_ends
+
+    for text, want in (
+        ("He studied modern art. The museum opened late.", 2),
+        ("It was his ex. They met again.", 2),
+        ("Das kostet 386 Euro bzw. 76.9 Prozent, d. h. zu viel.", 1),
+        ("Voir p. 12 et M. Durand est là. Il dort.", 2),
+        ("Dr. Smith met Prof. Jones. They left.", 2),
+        ("См. рис. Два. Это всё.", 2),
+        ("„" + "wort " * 120 + "ende.“ Dann ging er.", 2),
+    ):
+        assert len(sentence_ends(text)) == want, text
+
+
+def test_a_source_with_enough_cases_has_its_own_baseline(spark):
+    from wordloom.llm import truncation
+
+    def row(i, feed, text):
+        return (str(i), feed, "article", text, None)
+
+    signed = [row(f"a{k}", "a", f"Talk {k} was long.\n\nMusic by Someone") for k in range(40)]
+    inner = [row(f"b{k}", "b", f"Day {k} began.\n\nMusic was played in town {k}.\n\nIt ended.") for k in range(60)] + [row("cut", "b", "Day x began.\n\nMusic was played in the")]
+    df = spark.createDataFrame(signed + inner, "id string, feed_id string, source_type string, cleaned_text string, transcript string").repartition(3)
+    got = {r["episode_id"]: r["cut"] for r in truncation.judged(df).collect()}
+    assert got["cut"] == 1 and all(got[f"a{k}"] == 0 for k in range(40)) and got["b3"] == 0
+
+
+def test_attention_binds_and_long_texts_have_their_row():
+    import numpy as np
+
+    from wordloom.llm import packing
+
+    sizes = np.array([100, 100, 72, 60, 60, 60, 20, 10, 8, 5, 3, 1, 1])
+    row, n = packing.best_fit(sizes, 100)
+    for r in range(n):
+        own = np.sort(sizes[row == r])[::-1]
+        assert own.sum() <= 100 and (own[1:] ** 2).sum() <= packing.attention_left(100, own[0]) + 1e-9
+    assert {tuple(sizes[row == r]) for r in range(n)} >= {(100,)}
+    halves, n = packing.best_fit(np.array([60.0, 38.0] * 4), 100)
+    assert n > 4  # tokens alone would allow four rows

@@ -4,9 +4,10 @@ Each value is read once. A stack automaton walks its paragraphs and keeps the op
 and brackets; the end of the text is then taken apart from the back: marks of an interrupted
 transfer (half an entity, half an escape, a replacement character, a link that never closes),
 marks a limit leaves behind ("..." in brackets, an ellipsis), closing quotes, and the
-terminator of the text's script. What the end alone can't tell is left to the baseline of the
-whole collection, counted in the same pass, each different text once however many copies and
-deliveries it has:
+terminator of the text's script. What the end alone can't tell is left to the baseline of its
+source (feed and source type), or of the whole collection where the source has too few cases of
+it (``SOURCE_LEAST``), counted in the same pass, each different text once however many copies
+and deliveries it has:
 
 * a last paragraph without terminator is a closing line (a sign-off) when paragraphs that
   open like it are usually unterminated last ones, in several episodes, and cut when they
@@ -43,6 +44,10 @@ NEVER_LAST = {
 }
 #: A closing line must have been seen in so many episodes, and so much more often last than inside.
 LEAST_SEEN = 3
+#: Different texts and places that a source's own baseline of a key needs; below, the collection's holds.
+SOURCE_LEAST = 30
+#: Parts into which values are dealt when they meet their baseline.
+SALT = 16
 #: Letters of an ending compared in scripts without terminators.
 ENDING = 6
 
@@ -138,24 +143,24 @@ def end_of(text: str) -> tuple[str, str]:
 
 def _read(batch: dict[str, list]) -> dict[str, list]:
     rows: list[tuple] = []
-    known: set[bytes] = set()
+    known: set[tuple] = set()
     for eid, feed, kind, field, text in zip(batch["episode_id"], batch["feed_id"], batch["source_type"], batch["field"], batch["text"]):
         verdict, key = end_of(text)
         digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         rows.append((eid, feed, kind, field, verdict, key, digest, 1, 0))
-        if digest in known:
+        if (digest, feed, kind) in known:
             continue
-        known.add(digest)
+        known.add((digest, feed, kind))
         paragraphs = [p for p in text.split("\n") if p and not p.isspace()]
         seen: Counter = Counter(("closing", k) for k in {opening(p) for p in paragraphs[:-1]})
         if "…" in text:
             for m in _INNER_ELLIPSIS.finditer(text):
-                start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 400)
+                start = text.rfind("\n", 0, m.start()) + 1
                 seen["ellipsis", opening_of_sentence(last_sentence(text[start : m.start()]))] += 1
         if _UNSPACED.search(text):
             ends = [m.group() for line in paragraphs if not line.startswith("#") for m in _SEGMENT_END.finditer(line)]
             seen.update(("ending", x) for x in ends[:-1])
-        rows += [(None, None, None, None, kind, key, digest, 0, n) for (kind, key), n in seen.items()]
+        rows += [(None, feed, kind, None, verdict, key, digest, 0, n) for (verdict, key), n in seen.items()]
     names = ("episode_id", "feed_id", "source_type", "field", "verdict", "key", "digest", "last", "inside")
     return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
 
@@ -170,29 +175,49 @@ def judged(episodes: DataFrame) -> DataFrame:
         ),
         "p1-ends",
     )
-    open_kinds = ("closing", "ellipsis", "ending")
     values = read.filter(F.col("episode_id").isNotNull()).drop("digest", "last", "inside").distinct()
-    episodes_of = values.filter("verdict = 'closing'").groupBy("verdict", "key").agg(F.countDistinct("episode_id").alias("n_episodes"))
-    asked = F.col("verdict").isin(*open_kinds)
-    base = (
-        read.filter(asked)
-        .groupBy("verdict", "key", "digest")
-        .agg(F.max("last").alias("last"), F.max("inside").alias("inside"))
-        .groupBy("verdict", "key")
-        .agg(F.sum("last").alias("n_last"), F.sum("inside").alias("n_inside"))
-        .join(episodes_of, ["verdict", "key"], "left")
-    )
+    asked = F.col("verdict").isin("closing", "ellipsis", "ending")
     decided = values.filter(~asked).withColumn("cut", (F.col("verdict") == "cut").cast("int"))
+    own, every = baseline(read.filter(asked), "feed_id", "source_type"), baseline(read.filter(asked))
+    told = with_baseline(with_baseline(values.filter(asked), own, "own", "feed_id", "source_type"), every, "every")
+    enough = F.col("own.n_last") + F.col("own.n_inside") >= SOURCE_LEAST
+    base = F.when(enough, F.col("own")).otherwise(F.col("every"))
     usual = (
-        F.when(F.col("verdict") == "closing", (F.col("n_episodes") >= LEAST_SEEN) & (F.col("n_last") > 2 * F.col("n_inside")))
-        .when(F.col("verdict") == "ellipsis", (F.col("n_inside") > F.col("n_last")) & (F.col("key") != ""))
-        .otherwise(F.col("n_inside") >= LEAST_SEEN)
+        F.when(F.col("verdict") == "closing", (base.n_episodes >= LEAST_SEEN) & (base.n_last > 2 * base.n_inside))
+        .when(F.col("verdict") == "ellipsis", (base.n_inside > base.n_last) & (F.col("key") != ""))
+        .otherwise(base.n_inside >= LEAST_SEEN)
     )
-    told = values.join(base, ["verdict", "key"]).withColumn("cut", (~usual).cast("int"))
+    told = told.withColumn("cut", (~usual).cast("int"))
     columns = ("episode_id", "feed_id", "source_type", "field", "cut")
     return decided.select(*columns).unionByName(told.select(*columns))
 
 
+def baseline(read: DataFrame, *source: str) -> DataFrame:
+    """By verdict and key, and by source where one is named: the different texts that end so, the
+    places inside texts, and the episodes. Copies and deliveries of a text count once."""
+    of_text = read.groupBy("verdict", "key", *source, "digest").agg(F.max("last").alias("last"), F.max("inside").alias("inside"))
+    counts = of_text.groupBy("verdict", "key", *source).agg(F.sum("last").alias("n_last"), F.sum("inside").alias("n_inside"))
+    episodes = read.filter(F.col("episode_id").isNotNull()).groupBy("verdict", "key", *source).agg(F.countDistinct("episode_id").alias("n_episodes"))
+    both = counts.withColumn("n_episodes", F.lit(0).cast("bigint")).unionByName(episodes.select("verdict", "key", *source, F.lit(0).cast("bigint").alias("n_last"), F.lit(0).cast("bigint").alias("n_inside"), "n_episodes"))
+    return both.groupBy("verdict", "key", *source).agg(*[F.sum(c).alias(c) for c in ("n_last", "n_inside", "n_episodes")])
+
+
+def with_baseline(values: DataFrame, base: DataFrame, name: str, *source: str) -> DataFrame:
+    """``values`` with the struct ``name`` of their baseline.
+
+    Values that open with one word may be a third of all; so they join by salted keys: values
+    are dealt into SALT parts, and each baseline row, one a key, goes to all of them.
+    """
+    keys = ("verdict", "key", *source)
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64("episode_id", "field"), F.lit(SALT)).cast("int"))
+    right = base.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("n_last", "n_inside", "n_episodes").alias(name))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    on = F.col("_salt") == F.col("_part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return salted.join(right, on, "left").drop("_salt", "_part", *[f"_{k}" for k in keys])
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every value that was cut."""
     return judged(table(spark, folder, "episodes")).filter("cut = 1").select("episode_id", "field").distinct()

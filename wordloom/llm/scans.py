@@ -40,8 +40,14 @@ CONFUSIONS = [
 RATIO = 8
 #: Letters are folded to so many codes before their powers are summed.
 FOLD = 2048
-#: Longest line of a wrapped (scanned) text.
-WRAP = 110
+PRIME = 2**31 - 1
+#: Longest line of a page, and the part of a scanned text's lines of some length that may be longer
+#: (tables, pasted rows).
+WRAP, WIDER = 110, 0.2
+#: A variant at two differences must be so many times as frequent as the word, of so many letters.
+TWICE, TWICE_LETTERS = RATIO * RATIO, 6
+#: Words of more than 1 / HOT of all words, at most HOT, are looked up apart.
+HOT = 1000
 
 _PAGE_NUMBER = regex.compile(
     r"(?:(?:page|p\.|pg\.|seite|s\.|página|pág\.|стр\.|σελ\.)\s*)?[\[(\-–—~•|.\s]*[0-9lIO]{1,4}[\])\-–—~•|.\s]*(?:(?:of|/|von|de)\s*\d{1,4})?|[-–—(\[\s]*[ivxlc]{1,7}[-–—)\].\s]*", regex.I
@@ -65,7 +71,9 @@ def letters(text: str) -> str:
 def is_scan(text: str) -> bool:
     """Lines wrapped at a page's width."""
     lines = [line for line in text.split("\n") if line and not line.isspace()]
-    return len(lines) >= 3 and max(map(len, lines)) <= WRAP and sum(len(x) >= 35 for x in lines) >= 2
+    body = [len(x) for x in lines if len(x) >= 35]
+    wide = sum(n > WRAP for n in body)
+    return len(lines) >= 3 and len(body) - wide >= 2 and wide <= WIDER * len(body)
 
 
 def furniture(line: str, title: str) -> str:
@@ -123,55 +131,80 @@ def word_counts(episodes: DataFrame) -> DataFrame:
         .mapInArrow(count, "word string, n bigint")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
-        .filter(F.length("word") <= 60)
     )
 
 
 def anagram_hash(word: str) -> int:
-    """The sum of the fifth powers of a word's letters (code points below ``FOLD``).
-
-    Sixty letters stay within 64 bits; letters that fold together only add candidates, which
-    are checked letter by letter.
+    """The sum of the fifth powers of a word's letters (code points below ``FOLD``), each modulo
+    ``PRIME``, so that words of any length stay within 64 bits; letters that fold together only
+    add candidates, which are checked letter by letter.
     """
-    return sum((ord(c) % FOLD) ** 5 for c in word)
+    return sum(pow(ord(c) % FOLD, 5, PRIME) for c in word)
 
 
 def hash_column(word: str) -> Column:
     """``anagram_hash`` in SQL."""
     code = f"cast(ascii(c) as bigint) % {FOLD}"
     powers = F.expr(f"transform(split({word}, ''), c -> {code})")
-    return F.aggregate(powers, F.lit(0).cast("bigint"), lambda acc, c: acc + c * c * c * c * c)
-
+    return F.aggregate(powers, F.lit(0).cast("bigint"), lambda acc, c: acc + c * c * c * c * c % PRIME)
 
-def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(word, correction, n): the highest ranked variant of each suspect word that has one.
 
-    ``suspects`` has words; only those rare beside a variant are misread.
-    """
-    known = counts.filter((F.col("n") >= RATIO) & (F.length("word") >= 3)).select("word", "n", hash_column("word").alias("h"))
-    rare = suspects.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    rare = rare.filter((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
+def stepped(words: DataFrame) -> DataFrame:
+    """``words`` (word, own, form) at each confusion whose wrong letters the form holds: wrong,
+    right, and the hash ``h`` that the form has with it put right."""
     steps = F.array(
         *[
             F.struct(F.lit(w).alias("wrong"), F.lit(r).alias("right"), F.lit(anagram_hash(r) - anagram_hash(w)).alias("d"))
             for w, r in CONFUSIONS
         ]
     )
-    one = (
-        rare.select("word", F.col("n").alias("own"), hash_column("word").alias("h0"), F.explode(steps).alias("s"))
-        .filter("contains(word, s.wrong)")
-        .select("word", "own", F.col("s.wrong").alias("wrong"), F.col("s.right").alias("right"), (F.col("h0") + F.col("s.d")).alias("h"))
+    return (
+        words.select("word", "own", "form", hash_column("form").alias("h0"), F.explode(steps).alias("s"))
+        .filter("contains(form, s.wrong)")
+        .select("word", "own", "form", F.col("s.wrong").alias("wrong"), F.col("s.right").alias("right"), (F.col("h0") + F.col("s.d")).alias("h"))
     )
-    put = "exists(sequence(1, length(word)), i -> substr(word, i, length(wrong)) = wrong and concat(substr(word, 1, i - 1), right, substr(word, i + length(wrong))) = variant)"
+
+
+_PUT = "concat(substr(form, 1, i - 1), right, substr(form, i + length(wrong)))"
+
+
+def ranked(steps: DataFrame, known: DataFrame, ratio: int) -> DataFrame:
+    """(word, correction, n): the most frequent known word that a step reaches, checked letter by
+    letter and at least ``ratio`` times as frequent."""
     fits = (
-        one.join(known.select(F.col("word").alias("variant"), F.col("n").alias("often"), "h"), "h")
-        .filter(F.col("often") >= RATIO * F.greatest("own", F.lit(1)))
-        .filter(F.expr(put))
+        steps.join(known.select(F.col("word").alias("variant"), F.col("n").alias("often"), "h"), "h")
+        .filter(F.col("often") >= ratio * F.greatest("own", F.lit(1)))
+        .filter(F.expr(f"exists(sequence(1, length(form)), i -> substr(form, i, length(wrong)) = wrong and {_PUT} = variant)"))
     )
     best = fits.groupBy("word").agg(F.max(F.struct("often", "variant")).alias("b"))
     return best.select("word", F.col("b.variant").alias("correction"), F.col("b.often").alias("n"))
 
 
+def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(word, correction, n): the highest ranked variant of each suspect word that has one.
+
+    ``suspects`` has words; only those rare beside a variant are misread. Variants at one
+    difference come first; words without one are asked for two differences, with more evidence.
+    """
+    known = counts.filter((F.col("n") >= RATIO) & (F.length("word") >= 3)).select("word", "n", hash_column("word").alias("h"))
+    rare = suspects.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("own"), F.col("word").alias("form"))
+    rare = rare.filter((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
+    one = written(ranked(stepped(rare), known, RATIO), "p4-one")
+    left = rare.filter((F.length("word") >= TWICE_LETTERS) & (F.col("own") < RATIO)).join(one.select("word"), "word", "left_anti")
+    places = F.filter(F.sequence(F.lit(1), F.length("form")), lambda i: F.col("form").substr(i, F.length("wrong")) == F.col("wrong"))
+    put = stepped(left).withColumn("i", F.explode(places)).select("word", "own", F.expr(_PUT).alias("form")).distinct()
+    return one.unionByName(ranked(stepped(put), known, TWICE))
+
+
+def looked_up(words: DataFrame, fixes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``words`` without the most frequent words of the collection that have no correction: they
+    meet none, and a task need not hold all places of such a word."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > max(total / HOT, HOT)).select("word").join(fixes.select("word"), "word", "left_anti")
+    plain = [r["word"] for r in hot.collect()]
+    return words.filter(~F.col("word").isin(plain)) if plain else words
+
+
 def run_together(counts: DataFrame, suspects: DataFrame, fixed: DataFrame) -> DataFrame:
     """(word, correction): suspect words that are two known (or corrected) words in one."""
     usual = counts.filter((F.col("n") >= 2 * RATIO) & F.col("word").rlike(r"^\p{L}+$"))
@@ -245,8 +278,8 @@ def read_lines(pages: DataFrame) -> DataFrame:
     return map_batches(pages.select("id", "raw_text", "title").filter("raw_text is not null"), read, _LINES)
 
 
-def evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, breaks: whole, apart, hyphenated; fixes: word, correction)."""
+def evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines, breaks: whole, apart, hyphenated; fixes: word, correction; counts: word, n)."""
     episodes = table(spark, folder, "episodes")
     lines = written(read_lines(episodes.filter("source_type = 'pdf'")), "p4-lines")
     counts = written(word_counts(episodes), "p4-words")
@@ -262,7 +295,7 @@ def evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     suspects = written(used.groupBy("word").count().select("word").join(compounds, "word", "left_anti"), "p4-suspects")
     fixed = written(corrections(counts, suspects), "p4-fixed")
     fixes = fixed.select("word", "correction").unionByName(run_together(counts, suspects, fixed.filter("length(word) >= 4")))
-    return lines, breaks, written(fixes, "p4-fixes")
+    return lines, breaks, written(fixes, "p4-fixes"), counts
 
 
 _NUMERAL = r"^(?=.*[0-9])(?=.*[lo])[0-9lo]{2,5}$"
@@ -270,12 +303,12 @@ _NUMERAL = r"^(?=.*[0-9])(?=.*[lo])[0-9lo]{2,5}$"
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every defect of a line of a scanned text."""
-    lines, breaks, fixes = evidence(spark, folder)
+    lines, breaks, fixes, counts = evidence(spark, folder)
     edge = lines.filter("kind <> 'text'").select("episode_id", "line_no", "kind")
     ends = lines.filter("whole is not null").select("episode_id", "line_no", "whole", "apart")
     hyphen = ends.join(breaks, ["whole", "apart"]).filter("not hyphenated").select("episode_id", "line_no", F.lit("hyphen_break").alias("kind"))
     words = lines.filter("kind = 'text'").select("episode_id", "line_no", F.explode("words").alias("word"))
-    misread = words.join(fixes.select("word").distinct(), "word", "left_semi").unionByName(words.filter(F.col("word").rlike(_NUMERAL)).select("word", "episode_id", "line_no"))
+    misread = looked_up(words, fixes, counts).join(fixes.select("word").distinct(), "word", "left_semi").unionByName(words.filter(F.col("word").rlike(_NUMERAL)).select("word", "episode_id", "line_no"))
     misread = misread.select("episode_id", "line_no", F.lit("misread").alias("kind"))
     return edge.unionByName(hyphen).unionByName(misread).distinct()
 
@@ -324,10 +357,10 @@ def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     What a text needs (its corrections, its hyphenated compounds) is gathered by text, so that
     nothing but a text's own words meets it in a task.
     """
-    lines, breaks, fixes = evidence(spark, folder)
+    lines, breaks, fixes, counts = evidence(spark, folder)
     used = lines.filter("kind = 'text'").select("episode_id", F.explode("words").alias("word")).distinct()
     own = (
-        used.join(fixes.groupBy("word").agg(F.max("correction").alias("correction")), "word")
+        looked_up(used, fixes, counts).join(fixes.groupBy("word").agg(F.max("correction").alias("correction")), "word")
         .groupBy("episode_id")
         .agg(F.collect_list(F.concat_ws("\t", "word", "correction")).alias("fixes"))
     )

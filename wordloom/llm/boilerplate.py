@@ -65,22 +65,22 @@ def block_counts(pages: DataFrame) -> np.ndarray:
                 own = [cell(line) for line in set(text.split("\n")) if line and not line.isspace()]
                 np.add.at(total, own, 1)
         rows = [(i, total[i * size : (i + 1) * size]) for i in range(cells // size)]
-        rows = [(i, np.minimum(p, 65535).astype(np.uint16).tobytes()) for i, p in rows if p.any()]
+        rows = [(i, p.tobytes()) for i, p in rows if p.any()]
         yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                now = np.frombuffer(part, dtype=np.uint16).astype(np.uint32)
-                sums[i] = now if i not in sums else np.minimum(sums[i] + now, 65535)
+                now = np.frombuffer(part, dtype=np.uint32).astype(np.uint64)
+                sums[i] = now if i not in sums else sums[i] + now
         keys = list(sums)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(keys, pa.int32()), "counts": pa.array([sums[k].astype(np.uint16).tobytes() for k in keys], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(keys, pa.int32()), "counts": pa.array([sums[k].tobytes() for k in keys], pa.binary())})
 
     schema = "block int, counts binary"
-    out = np.zeros(cells, dtype=np.uint16)
+    out = np.zeros(cells, dtype=np.uint64)
     for row in pages.select("raw_text").mapInArrow(count, schema).repartition(cells // size, "block").mapInArrow(merge, schema).collect():
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint16)
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint64)
     return out
 
 

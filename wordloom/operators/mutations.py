@@ -23,7 +23,8 @@ def patch(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return table.join(keys.select(F.col(key).alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    """Without the rows whose ``key`` is in the first column of ``keys``."""
+    return table.join(keys.select(F.col(keys.columns[0]).alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "left_anti")
 
 
 def update_where(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -57,3 +58,15 @@ def backfill(source: DataFrame, condition: Column, columns: dict[str, Column]) -
 def copy_columns(table: DataFrame, columns: list[str]) -> DataFrame:
     """A table rebuilt with a list of columns; those it lacks are null."""
     return table.select(*[F.col(c) if c in table.columns else F.lit(None).alias(c) for c in columns])
+
+
+def affected(table: DataFrame, keys: DataFrame, key: str) -> int:
+    """How many rows a change by ``keys`` touches; 0 means that nothing was found."""
+    return table.join(keys.select(F.col(keys.columns[0]).alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "left_semi").count()
+
+
+def claim(jobs: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
+    """The jobs after the first ``k`` in rank are set running; ``claimed`` marks them."""
+    taken = ranks.filter(F.col("claim_rank") <= k).select(F.col("job_id").alias("_job"))
+    out = jobs.join(taken, F.col("id") == F.col("_job"), "left").withColumn("claimed", F.col("_job").isNotNull()).drop("_job")
+    return update_where(out, F.col("claimed"), {"status": F.lit("running")})

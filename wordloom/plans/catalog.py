@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import scalars as S
 from wordloom.functions import text as X
 from wordloom.operators import marts, mutations, sections
-from wordloom.plans import pipeline, rolling_queries
+from wordloom.plans import pipeline, record_queries, rolling_queries
 from wordloom.sources.lexicon import SPOKEN
 from wordloom.sources.tables import table
 from wordloom.streaming import usage_stream
@@ -453,5 +453,6 @@ def usage_daily_stream(spark: SparkSession, folder: str) -> DataFrame:
     return usage_stream.daily_totals(spark, folder)
 
 
-QUERIES |= rolling_queries.QUERIES
-ORACLES |= rolling_queries.ORACLES
+for _module in (rolling_queries, record_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

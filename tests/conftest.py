@@ -9,10 +9,10 @@ DATA = Path(os.environ.get("TEST_DATA", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from wordloom.session import local_session
 
-    session = local_session("tests", 4, **{"spark__sql__shuffle__partitions": "4"})
+    session = local_session("tests", 4, **{"spark__sql__shuffle__partitions": "4", "spark__checkpoint__dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -128,7 +128,7 @@ def test_ssml_cuts_long_sentences_and_skips_blank_paragraphs(spark):
 
 def test_white_space_of_any_kind_is_stripped(spark):
     assert one(spark, S.not_blank(F.col("t")), t="\n\t\u2003\n") is None
-    assert one(spark, S.tail(F.col("t"), 6), t="abc\n d\n\n") == "d"
+    assert one(spark, S.tail(F.col("t"), 5), t="abc\n d\n\n") == "d"
     assert one(spark, S.normalize_whitespace(F.col("t")), t="\u3000a\n b\x85") == "a b"
 
 
@@ -221,3 +221,19 @@ def test_small_scalars(spark):
     assert one(spark, D.page_count(F.col("t")), t="Title: x\nPages:  12\n") == 12
     assert one(spark, D.key_of_url(F.col("u"), ["a.example", "b.example"]), u="https://b.example/episodes/1.mp3") == "episodes/1.mp3"
     assert one(spark, S.render_markdown_headers(F.col("t")), t="## A <b>\nx") == "<h2>A &lt;b&gt;</h2>\nx"
+
+
+def test_replies_and_outlines(spark):
+    from wordloom.functions import names as N
+
+    reply = lambda t: tuple(one(spark, N.reply(F.col("t")), t=t))
+    assert reply('{"candidates":[{"content":{"parts":[{"text":"a"},{"x":1},{"text":"b"}]}}],"usageMetadata":{"promptTokenCount":3}}') == ("ab", None, 3, 0)
+    assert reply('{"candidates":[{"finishReason":"SAFETY","content":{"parts":[{"text":""}]}}]}') == (None, "empty: SAFETY", 0, 0)
+    assert reply("{}") == (None, "no parts", 0, 0)
+    assert one(spark, N.outline(F.col("t")), t='```\n{"sections":[]}\n```')["intro_line"] is None
+    assert one(spark, N.outline(F.col("t")), t='{"intro_line":"x"}') is None
+    assert one(spark, N.json_or_null(F.col("t")), t="{bad") is None
+    assert [one(spark, N.window_days(F.col("t")), t=t) for t in ("7", "x", "")] == [7, None, None]
+    assert one(spark, N.fixed_width((F.lit("ab"), 4), (F.lit(12), -4), (F.lit("toolong"), 3)), t="") == "ab     12 toolong"
+    assert one(spark, N.paper_fault(F.col("t")), t=" " * 600 + "x") is not None and one(spark, N.paper_fault(F.col("t")), t="x" * 500) is None
+    assert one(spark, N.cover_brief(F.lit("T"), F.col("t")), t=" \n\t") == "T"

@@ -186,3 +186,18 @@ def test_pipeline_stops_where_told(spark):
     assert "transcript" not in pipeline.run(docs, pipeline.LocalProvider(), "clean").columns
     with pytest.raises(ValueError):
         pipeline.run(docs, pipeline.LocalProvider(), "fly")
+
+
+def test_lists_come_in_the_order_asked_for(spark):
+    at = [dt.datetime(2025, 1, d) for d in (2, 9, 5)]
+    feeds = spark.createDataFrame([(str(i), "s", "t", x) for i, x in enumerate(at)], "id string, slug string, title string, created_at timestamp_ntz")
+    episodes = spark.createDataFrame([("e", "1"), ("e", "1"), ("f", "1")], "id string, feed_id string")
+    assert [(r["feed_id"], r["episode_count"]) for r in marts.feed_list(feeds, episodes).collect()] == [("1", 2), ("2", 0), ("0", 0)]
+
+
+def test_claims_and_affected_rows(spark):
+    jobs = spark.createDataFrame([("a", "queued"), ("b", "queued"), ("c", "done")], "id string, status string")
+    ranks = spark.createDataFrame([("b", 1), ("a", 2)], "job_id string, claim_rank int")
+    got = {r["id"]: (r["status"], r["claimed"]) for r in mutations.claim(jobs, ranks, 1).collect()}
+    assert got == {"a": ("queued", False), "b": ("running", True), "c": ("done", False)}
+    assert mutations.affected(jobs, ranks, "id") == 2 and mutations.affected(jobs, ranks.filter("job_id = 'x'"), "id") == 0

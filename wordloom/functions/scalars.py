@@ -105,6 +105,11 @@ def is_true(c: Column) -> Column:
     return c.isin("true", "1")
 
 
+def images_wanted(c: Column) -> Column:
+    """On unless it says false or 0; also where nothing is said."""
+    return ~F.coalesce(c.isin("false", "0"), F.lit(False))
+
+
 def not_blank(c: Column) -> Column:
     """The trimmed text, or null where nothing is left."""
     return F.nullif(strip(c), F.lit(""))

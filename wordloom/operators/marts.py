@@ -27,16 +27,17 @@ def at(moment: str | dt.datetime) -> Column:
     return F.lit(str(moment)).cast("timestamp_ntz")
 
 
-def usage_by(usage: DataFrame, *keys: str, since: Column | None = None) -> DataFrame:
-    """Calls and tokens by ``keys``; ``since`` bounds the time from below."""
+def usage_by(usage: DataFrame, *keys: str, since: Column | None = None, ordered: bool = False) -> DataFrame:
+    """Calls and tokens by ``keys``, in their order if asked; ``since`` bounds the time from below."""
     rows = once(usage, "id", *keys, "input_tokens", "output_tokens", "created_at")
     if since is not None:
         rows = rows.filter(F.col("created_at") >= since)
-    return rows.groupBy(*keys).agg(
+    sums = rows.groupBy(*keys).agg(
         F.count("*").alias("calls"),
         F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
     )
+    return sums.orderBy(*keys) if ordered else sums
 
 
 def usage_of_episodes(usage: DataFrame) -> DataFrame:
@@ -55,11 +56,13 @@ def usage_of_episodes(usage: DataFrame) -> DataFrame:
 
 
 def feed_list(feeds: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Every feed with its number of episodes; counted before the join, feeds without any kept."""
+    """Every feed with its number of episodes, the newest feed first; counted before the join, feeds
+    without any kept."""
     counts = once(episodes, "id", "feed_id").groupBy("feed_id").agg(F.count("*").cast("int").alias("episode_count"))
-    return feeds.join(counts, feeds.id == counts.feed_id, "left").select(
+    rows = feeds.join(counts, feeds.id == counts.feed_id, "left").select(
         feeds.id.alias("feed_id"), "slug", "title", "created_at", F.coalesce("episode_count", F.lit(0)).alias("episode_count")
     )
+    return rows.orderBy(F.col("created_at").desc(), "feed_id")
 
 
 def retry_times(jobs: DataFrame, now: Column) -> DataFrame:

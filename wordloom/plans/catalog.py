@@ -57,13 +57,13 @@ def _texts(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 @query(f"WITH {_USAGE} SELECT provider, model, stage, {_SUMS} FROM u GROUP BY provider, model, stage")
 def usage_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.usage_by(table(spark, folder, "ai_usage"), "provider", "model", "stage")
+    return marts.usage_by(table(spark, folder, "ai_usage"), "provider", "model", "stage", ordered=True)
 
 
 @query(f"WITH {_USAGE} SELECT provider, model, stage, {_SUMS} FROM u WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL {DAYS} DAY GROUP BY provider, model, stage")
 def usage_window_days(spark: SparkSession, folder: str) -> DataFrame:
     since = marts.at(NOW) - F.make_dt_interval(F.lit(DAYS))
-    return marts.usage_by(table(spark, folder, "ai_usage"), "provider", "model", "stage", since=since)
+    return marts.usage_by(table(spark, folder, "ai_usage"), "provider", "model", "stage", since=since, ordered=True)
 
 
 @query(f"WITH {_USAGE} SELECT episode_id, {_SUMS} FROM u WHERE episode_id IS NOT NULL GROUP BY episode_id")

@@ -14,6 +14,7 @@ from wordloom.functions import names as N
 from wordloom.functions import scalars as S
 from wordloom.functions import text as X
 from wordloom.operators import marts, mutations, sections
+from wordloom.sources import documents as D
 from wordloom.sources.tables import table
 
 BASE = "https://pod.example"
@@ -262,3 +263,118 @@ def spoken_documents(spark: SparkSession, folder: str) -> DataFrame:
     length = F.col("seconds") + F.when(F.col("pause"), sections.SECTION_PAUSE).otherwise(0.0)
     before = W.partitionBy("id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)
     return plan.withColumn("start_secs", F.round(F.coalesce(F.sum(length).over(before), F.lit(0.0)), 6)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query(
+    f"""WITH {_E}, s AS (SELECT DISTINCT id, title, source_type, status FROM e), k AS (SELECT *, length(title) % 4 AS k FROM s)
+    SELECT id, '<h' || (k % 3 + 1) || '>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h' || (k % 3 + 1) || '>' || chr(10) || 'x' AS rendered,
+    '{{"a": "' || id || '"}}' AS unfenced, CASE WHEN k = 0 THEN 'Untitled PDF' ELSE id END AS parsed_title, CASE WHEN k = 0 THEN 'body ' || id ELSE 'body' END AS parsed_text,
+    id AS stem, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'webp' ELSE 'bin' END AS extension, k IN (0, 1) AS yes, k <> 3 AS images,
+    'episodes/' || id || '.mp3' AS object_key, CASE WHEN k = 3 THEN NULL ELSE id || ' ' || status END AS entry_title, 'episodes/' || id || '/' || substr(sha256(title), 1, 16) || '.mp3' AS audio_key,
+    'episodes/' || id || '/cover.png' AS cover_key, CAST(CASE WHEN k = 0 THEN NULL ELSE k * 11 END AS INTEGER) AS n_pages, CASE WHEN k = 0 THEN 'b' WHEN k = 1 THEN 'b' ELSE 'a' END AS page FROM k"""
+)
+def small_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers, fences, titles, stems, types, switches, keys and feed entries of made records."""
+    e = marts.once(table(spark, folder, "episodes"), "id", "title", "source_type", "status")
+    k, i = F.length("title") % 4, F.col("id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    named = S.title_and_text(F.when(k == 0, text("body ", i)).otherwise(text("TITLE: ", i, "\n \nbody \n")))
+    mime = F.when(k == 0, "image/png").when(k == 1, "image/jpg").when(k == 2, "image/webp").otherwise("text/x")
+    switch = F.when(k == 0, "true").when(k == 1, "1").when(k == 2, "yes").otherwise("false")
+    broken = text("x ", D.FATAL_CONVERSION)
+    return e.select(
+        "id",
+        S.render_markdown_headers(text(F.substring(F.lit("###"), F.lit(1), k % 3 + 1), " ", F.col("title"), "\nx")).alias("rendered"),
+        S.strip_code_fence(text("```json\n", '{"a": "', i, '"}', "\n```")).alias("unfenced"),
+        named.title.alias("parsed_title"),
+        named.text.alias("parsed_text"),
+        S.file_stem(text("/up/", i, F.when(k == 0, ".md.md").when(k == 1, ".markdown").otherwise(".txt"))).alias("stem"),
+        S.image_extension(mime).alias("extension"),
+        S.is_true(switch).alias("yes"),
+        S.images_wanted(switch).alias("images"),
+        D.key_of_url(text(F.when(k == 0, "https://a.example/").otherwise("http://b.example/"), "episodes/", i, ".mp3"), ["a.example", "b.example"]).alias("object_key"),
+        S.atom_title(text("<feed><title>f</title><entry>", F.when(k == 3, "").otherwise(text("<title> ", i, "\n", F.col("status"), "</title>")), "</entry></feed>")).alias("entry_title"),
+        D.audio_key(i, F.col("title")).alias("audio_key"),
+        D.cover_key(i, F.lit("image/png")).alias("cover_key"),
+        D.page_count(F.when(k == 0, "no count").otherwise(text("Title: x\nPages:   ", (k * 11).cast("string"), "\n"))).alias("n_pages"),
+        D.first_valid_page(F.when(k == 0, F.lit(None).cast("string")).when(k == 1, broken).otherwise("a"), F.lit("b")).alias("page"),
+    )
+
+
+@query(
+    f"""WITH {_E}, t AS (SELECT DISTINCT id, title, cleaned_text FROM e) SELECT id, trim(title) AS title, octet_length(encode(cleaned_text)) AS n_bytes FROM t
+    WHERE trim(title) <> '' AND cleaned_text IS NOT NULL AND trim(cleaned_text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND octet_length(encode(cleaned_text)) <= 4000"""
+)
+def accepted_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pasted texts within a size, with a title."""
+    rows = table(spark, folder, "episodes").select("id", "title", F.col("cleaned_text").alias("text"), F.octet_length("cleaned_text").cast("bigint").alias("n_bytes"))
+    return D.submitted_texts(rows.filter("n_bytes <= 4000")).select("id", "title", "n_bytes").distinct()
+
+
+@query(
+    f"""WITH {_E}, t AS (SELECT DISTINCT id, source_url FROM e WHERE source_url IS NOT NULL), f AS (SELECT id, lower(regexp_extract(source_url, '^[^?#]*')) LIKE '%.pdf' OR length(id) % 2 = 1 AS pdf FROM t)
+    SELECT id, CASE WHEN pdf THEN 'pdf' ELSE 'html' END AS kind FROM f"""
+)
+def page_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched pages by what they turned out to be."""
+    e = marts.once(table(spark, folder, "episodes"), "id", "source_url").filter("source_url is not null")
+    kind = F.when(F.length("id") % 2 == 1, "application/PDF; x").otherwise("text/html")
+    return D.fetched_pages(e.select("id", F.col("source_url").alias("final_url"), kind.alias("content_type"))).select("id", "kind")
+
+
+@query(
+    f"""WITH {_J}, c AS (SELECT DISTINCT id, attempts, job_type FROM j) SELECT id, CASE WHEN attempts = 0 THEN 'hit' ELSE 'miss' END AS found FROM c"""
+)
+def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces whose content key is in the cache, and those to be made anew."""
+    rows = marts.once(table(spark, folder, "jobs"), "id", "attempts", "job_type").withColumns({"chunk_no": F.lit(0), "voice": F.lit("v")})
+    cache = rows.select("id", "chunk_no", S.cache_key(F.when(F.col("attempts") == 0, F.col("job_type")).otherwise("edited"), F.col("voice")).alias("content_key"))
+    hits, misses = sections.split_by_cache(rows, cache, "job_type", "voice")
+    return hits.select("id", F.lit("hit").alias("found")).unionByName(misses.select("id", F.lit("miss").alias("found")))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text, substr(text, 31, 40) AS a, ltrim(substr(text, 31, 25)) AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(nullif(strpos(text, a), 0) AS INTEGER) AS first_at,
+    CAST(coalesce(CASE WHEN length(l) >= 25 AND strlen(l) >= 10 THEN nullif(strpos(text, l), 0) END,
+      CASE WHEN length(l) >= 15 AND strlen(substr(l, 1, 15)) >= 10 THEN nullif(strpos(text, substr(l, 1, 15)), 0) END) AS INTEGER) AS prefix_at FROM t"""
+)
+def anchor_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where anchors stand: their first place, and that of a prefix where the end was reworded."""
+    d = table(spark, folder, "documents").filter("text is not null")
+    anchor = F.substring("text", 31, 40)
+    reworded = F.concat(F.substring(anchor, 1, 25), F.lit("\u0001 another end"))
+    return d.select("doc_id", X.find_anchor(F.col("text"), anchor).alias("first_at"), X.find_anchor(F.col("text"), reworded).alias("prefix_at"))
+
+
+@query()
+def located_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut by an outline of two anchors out of them; no row's parts where the outline does not fit."""
+    d = table(spark, folder, "documents").filter("text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+    section = lambda title, at: F.struct(F.lit(title).alias("title"), F.substring("text", at, F.lit(30)).alias("start_anchor"))
+    found = X.locate_sections(F.col("text"), F.array(section("one", F.lit(1)), section("two", half + 1)), F.substring("text", F.length("text") - 20, F.lit(21)))
+    parts = F.transform(found, lambda p: F.struct(p.title.alias("title"), F.octet_length(p.body).alias("n_bytes")))
+    return d.select("doc_id", found.isNotNull().alias("fits"), F.to_json(parts).alias("parts"))
+
+
+@query(
+    f"""WITH {_E}, t AS (SELECT DISTINCT id, title, status FROM e) SELECT id, status || ' page' AS title, status || ' page' || chr(10) || chr(10) || 'Let x=1 be ' || status || '.' || chr(10) || chr(10) || 'Then more.' AS text FROM t"""
+)
+def paper_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A converted paper's page read: formulas by their text, citations, tables and authors left out."""
+    e = marts.once(table(spark, folder, "episodes"), "id", "title", "status")
+    page = F.concat(
+        F.lit('<html><body><nav>Menu</nav><article class="ltx_document"><h1 class="ltx_title ltx_title_document">'), "status", F.lit(' page</h1><div class="ltx_authors">Someone</div><p>Let <math alttext="x=1"><mi>x</mi></math> be '),
+        "status", F.lit('<cite>[1]</cite>.</p><table><tr><td>1</td></tr></table><section class="ltx_section"><p>Then more.</p></section><section class="ltx_bibliography"><p>Ref</p></section></article></body></html>'),
+    )
+    return e.select("id", X.paper_text(page).alias("p")).select("id", "p.title", "p.text")
+
+
+@query()
+def reassembled_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned pieces put together again; by hash. Texts of one id are one text here."""
+    raw = table(spark, folder, "episodes").select("id", F.col("cleaned_text").alias("text")).filter("text is not null")
+    # the pieces of repeated rows fold as pieces
+    plan = sections.with_roles(sections.cleaned_pieces(raw).distinct())
+    return sections.reassembled(plan, "From the start.").select("id", F.md5("text").alias("text_md5"))

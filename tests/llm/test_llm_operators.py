@@ -330,3 +330,24 @@ def test_attention_binds_and_long_texts_have_their_row():
     assert {tuple(sizes[row == r]) for r in range(n)} >= {(100,)}
     halves, n = packing.best_fit(np.array([60.0, 38.0] * 4), 100)
     assert n > 4  # tokens alone would allow four rows
+
+
+def test_one_pasted_row_does_not_hide_a_scan():
+    from wordloom.llm import scans
+
+    wrapped = "\n".join(["the lines of this page were wrapped at the width of it and"] * 12)
+    assert scans.is_scan(wrapped) and scans.is_scan(wrapped + "\n" + "a row of a table " * 20)
+    assert not scans.is_scan("\n\n".join(["a paragraph of one line, which ends where the line does."] * 12 + ["x " * 200]))
+    assert not scans.is_scan("\n".join(["wide lines of a text " * 10] * 5 + ["short lines of it are some as well"] * 2))
+
+
+def test_words_with_two_misreadings_and_very_long_words(spark):
+    from wordloom.llm import scans
+
+    long = "donaudampfschifffahrtsgesellschaft" * 4
+    seen = [("rocument", 1), ("government", 900), ("govemrnent", 1), ("govemmcnt", 1), (long, 50), (long.replace("gese", "gcse", 1), 1), ("hause", 700), ("heusc", 1)]
+    counts = spark.createDataFrame(seen, "word string, n bigint")
+    fixed = {r["word"]: r["correction"] for r in scans.corrections(counts, counts.select("word")).collect()}
+    assert fixed[long.replace("gese", "gcse", 1)] == long
+    assert fixed["govemmcnt"] == "government" and "heusc" not in fixed and "rocument" not in fixed
+    assert scans.anagram_hash("ab") == scans.anagram_hash("ba")

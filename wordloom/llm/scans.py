@@ -69,11 +69,19 @@ def letters(text: str) -> str:
 
 
 def is_scan(text: str) -> bool:
-    """Lines wrapped at a page's width."""
-    lines = [line for line in text.split("\n") if line and not line.isspace()]
-    body = [len(x) for x in lines if len(x) >= 35]
-    wide = sum(n > WRAP for n in body)
-    return len(lines) >= 3 and len(body) - wide >= 2 and wide <= WIDER * len(body)
+    """Lines wrapped at a page's width.
+
+    Some wider lines are let pass where most lines of some length run on in the next line, as
+    wrapped lines do and paragraphs of a line each do not.
+    """
+    lines = text.split("\n")
+    some = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    body = [i for i in some if len(lines[i]) >= 35]
+    wide = sum(len(lines[i]) > WRAP for i in some)
+    if len(some) < 3 or len(body) - wide < 2:
+        return False
+    runs_on = sum(i + 1 < len(lines) and bool(lines[i + 1].strip()) for i in body)
+    return wide == 0 or (wide <= WIDER * len(body) and 2 * runs_on >= len(body))
 
 
 def furniture(line: str, title: str) -> str:

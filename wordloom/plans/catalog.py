@@ -365,18 +365,22 @@ def lexicon_apply(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MASK = "regexp_replace(regexp_replace({}, '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9])[.]([0-9])', '\\1' || chr(1) || '\\2', 'g')"
-_ABBR = "(^|[^\\p{L}])(\\p{L}|(?i:" + "|".join(X.SPOKEN_ABBREVIATIONS) + "))[.]"
+# letters, and the marks of Arabic, Devanagari and Thai that count as alphabetic
+_ALPHA = "\\p{L}\\p{Nl}\\x{64B}-\\x{657}\\x{659}-\\x{65F}\\x{670}\\x{900}-\\x{903}\\x{93A}\\x{93B}\\x{93E}-\\x{94C}\\x{94E}\\x{94F}\\x{E31}\\x{E34}-\\x{E3A}\\x{E4D}"
+_ABBR = f"(^|[^{_ALPHA}])([{_ALPHA}]|(?i:" + "|".join(X.SPOKEN_ABBREVIATIONS) + "))[.]"
 _MASKED = "regexp_replace(regexp_replace(" + _MASK.format("text") + f", '{_ABBR}', '\\1\\2' || chr(1), 'g'), '{_ABBR}', '\\1\\2' || chr(1), 'g')"
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT doc_id, regexp_extract_all({_MASKED}, '(?s).[^.!?]*[.!?]|(?s).+') AS l FROM documents WHERE text IS NOT NULL AND text <> '')
+    SELECT doc_id, len(l) AS n_sentences, md5(replace(array_to_string(l, chr(2)), chr(1), '.')) AS sentences_md5 FROM m"""
+)
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Spoken sentences of every document. No SQL: its letter classes differ from the
-    alphabetic ones where a text holds combining marks."""
+    """Spoken sentences of every document."""
     return _sentences(table(spark, folder, "documents"))
 
 
-@query()
+@query(ORACLES["sentence_split"])
 def sentence_split_all(spark: SparkSession, folder: str) -> DataFrame:
     """The former name of ``sentence_split``."""
     return _sentences(table(spark, folder, "documents"))

@@ -17,7 +17,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,7 @@ _HEADING = regex.compile(r"[^\S\n]*#{1,6}[^\S\n]+\S")
 _ITEM = regex.compile(r"[^\S\n]*(?:[-*•‣◦·–—][^\S\n]+|\(?\d{1,3}[.)][^\S\n]+|\(?[A-Za-z]\)[^\S\n]+)\S")
 _SURE_ITEM = regex.compile(r"[^\S\n]*[-*•‣◦][^\S\n]+\S")
 # Standard properties: terminators with what closes behind them. An ellipsis counts as a stop.
-_ENDS = regex.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]|(?<=\p{Greek});)+(?P<close>(?:[)\]}）】〉》」』”’»›'\"]|(?<=„[^„“”]*)“|(?<=«[^«»]*)\s»)*)(?P<space>[\s\p{Sentence_Break=Sp}]*)")
+_ENDS = regex.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]|(?<=\p{Greek});)+(?P<close>(?:[)\]}）】〉》」』”’»›'\"]|(?<=„[^„“”]*)“|\s»(?<=«[^«»]*\s»))*)(?P<space>[\s\p{Sentence_Break=Sp}]*)")
 _GAP = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])\s+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])")
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 _BEFORE = regex.compile(r"(?:^|[\s(\[{“„«\"'‘¿¡—–-])((?:\p{L}\p{M}*\.)*[\p{L}\p{M}]+)$")
@@ -79,7 +80,7 @@ BRACKET_CLOSERS = set(")]}）】〉》")
 
 
 _OF_SCRIPT = [(lang, regex.compile(rf"\p{{{name}}}")) for lang, name in SCRIPTS]
-_LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}’']+")
+_AROUND = ".,;:!?…\"'()[]«»“”„‘’¿¡—–-"
 _WORDS_OF: dict[str, set[str]] = {}
 for _lang, _words in FREQUENT.items():
     for _w in _words.split():
@@ -89,22 +90,24 @@ for _lang, _words in FREQUENT.items():
 def votes(passage: str) -> dict[str, float]:
     """Frequent words of each Latin-script language; one that several share counts for each in part."""
     out = dict.fromkeys(FREQUENT, 0.0)
-    for w in _LATIN_WORD.findall(passage.lower()):
-        for lang in _WORDS_OF.get(w, ()):
-            out[lang] += 1 / len(_WORDS_OF[w])
+    for w in passage.lower().split():
+        of = _WORDS_OF.get(w.strip(_AROUND))
+        if of:
+            for lang in of:
+                out[lang] += 1 / len(of)
     return out
 
 
-def languages(passage: str, whole: str) -> set[str]:
+def languages(passage: str, whole: Callable[[], dict[str, float]]) -> set[str]:
     """The languages a passage may be in, told by its script and frequent words.
 
     A passage too short to tell takes those of its whole text beside its own; the text's tag is
-    not read, as tags are often wrong.
+    not read, as tags are often wrong. ``whole`` gives the votes of the text.
     """
     out = {lang for lang, letter in _OF_SCRIPT if letter.search(passage)}
     found = votes(passage)
     first, second = sorted(found.values(), reverse=True)[:2]
-    for told in (found,) if first >= 2 and first >= 1.5 * second else (found, votes(whole)):
+    for told in (found,) if first >= 2 and first >= 1.5 * second else (found, whole()):
         most = max(told.values())
         out |= {lang for lang, v in told.items() if v >= 0.7 * most}
     return out
@@ -113,15 +116,15 @@ def languages(passage: str, whole: str) -> set[str]:
 class Passage:
     """The abbreviations of a stretch of a text; its languages are told when first asked for."""
 
-    def __init__(self, text: str, begin: int, stop: int) -> None:
-        self.text, self.begin, self.stop = text, begin, stop
+    def __init__(self, text: str, begin: int, stop: int, whole: Callable[[], dict[str, float]]) -> None:
+        self.text, self.begin, self.stop, self.whole = text, begin, stop, whole
         self.held: set[str] | None = None
 
     def suppresses(self, key: str) -> bool:
         if key not in ANY:
             return False
         if self.held is None:
-            self.held = {w for lang in languages(self.text[self.begin : self.stop], self.text) for w in SUPPRESSED[lang]}
+            self.held = {w for lang in languages(self.text[self.begin : self.stop], self.whole) for w in SUPPRESSED[lang]}
         return key in self.held or key in SUPPRESSED[""]
 
 
@@ -247,6 +250,7 @@ def sentence_ends(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return out
     unspaced = bool(_UNSPACED.search(text))
+    whole_votes = cache(lambda: votes(text))
     for begin, stop, whole in segments(text):
         while begin < stop and text[begin].isspace():
             begin += 1
@@ -260,7 +264,7 @@ def sentence_ends(text: str | None) -> list[tuple[int, int]]:
             if unspaced:
                 cuts += [(m.start(), m.end(), None) for m in _GAP.finditer(text, begin, stop)]
                 cuts.sort(key=lambda c: c[:2])
-            passage = Passage(text, begin, stop)
+            passage = Passage(text, begin, stop, whole_votes)
             for end, following, m in cuts:
                 if end > start and following < stop and (m is None or is_boundary(text, start, m, stop, passage)):
                     out.append((start, end))

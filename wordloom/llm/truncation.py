@@ -46,6 +46,8 @@ NEVER_LAST = {
 LEAST_SEEN = 3
 #: Different texts and places that a source's own baseline of a key needs; below, the collection's holds.
 SOURCE_LEAST = 30
+#: Keys up to which their table is broadcast (some 20 MB).
+FEW_KEYS = 500_000
 #: Parts into which values are dealt when they meet their baseline.
 SALT = 16
 #: Letters of an ending compared in scripts without terminators.
@@ -178,7 +180,8 @@ def judged(episodes: DataFrame) -> DataFrame:
     values = read.filter(F.col("episode_id").isNotNull()).drop("digest", "last", "inside").distinct()
     asked = F.col("verdict").isin("closing", "ellipsis", "ending")
     decided = values.filter(~asked).withColumn("cut", (F.col("verdict") == "cut").cast("int"))
-    own, every = baseline(read.filter(asked), "feed_id", "source_type"), baseline(read.filter(asked))
+    counted = asked_for(read.filter(asked), values.filter(asked))
+    own, every = baseline(counted, "feed_id", "source_type"), baseline(counted)
     told = with_baseline(with_baseline(values.filter(asked), own, "own", "feed_id", "source_type"), every, "every")
     enough = F.col("own.n_last") + F.col("own.n_inside") >= SOURCE_LEAST
     base = F.when(enough, F.col("own")).otherwise(F.col("every"))
@@ -192,6 +195,13 @@ def judged(episodes: DataFrame) -> DataFrame:
     return decided.select(*columns).unionByName(told.select(*columns))
 
 
+def asked_for(read: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of ``read`` whose key some value asks for, where these keys are few enough to be
+    broadcast; else all rows, which gives the same result."""
+    keys = written(values.select("verdict", "key").distinct(), "p1-keys")
+    return read.join(F.broadcast(keys), ["verdict", "key"], "left_semi") if keys.count() <= FEW_KEYS else read
+
+
 def baseline(read: DataFrame, *source: str) -> DataFrame:
     """By verdict and key, and by source where one is named: the different texts that end so, the
     places inside texts, and the episodes. Copies and deliveries of a text count once."""

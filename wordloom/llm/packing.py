@@ -35,13 +35,15 @@ SHARD_ITEMS = 20_000
 #: Documents a row may hold for each 16 tokens of capacity, and the part of capacity squared
 #: its attention may cost.
 TOKENS_A_DOCUMENT = 16
-COST = 0.5
+COST = 0.75
 #: Weights of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.05, 0.1)
 
 
 def capacities(size: int) -> np.ndarray:
-    return np.array([size, max(1, size // TOKENS_A_DOCUMENT), COST * size * size], dtype=float)
+    """Tokens, documents, and the attention that no row exceeds (see ``attention_left`` for what a
+    row may spend)."""
+    return np.array([size, max(1, size // TOKENS_A_DOCUMENT), size * size], dtype=float)
 
 
 def attention_left(size: float, opened: float) -> float:
